@@ -33,6 +33,6 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         # the state is settled when every link leads from a node to a root that itself has no link down
         after = save(_small_star(_large_star(now).distinct()).filter("a <> b").distinct(), name)
         roots = after.select("b").distinct()
-        if after.join(roots, after["a"] == roots["b"], "left_semi").isEmpty() and after.groupBy("a").count().filter("count > 1").isEmpty():
+        if after.join(roots.withColumnRenamed("b", "a"), "a", "left_semi").isEmpty() and after.groupBy("a").count().filter("count > 1").isEmpty():
             return after.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
         now = after
