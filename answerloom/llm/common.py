@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: The white space of every contract: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -69,3 +69,49 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+#: The most bits of the filter of ids that is broadcast: at most ID_BITS / 64 rows of two numbers, whatever the input's size.
+ID_BITS = 1 << 25
+
+
+def id_filter(ids: DataFrame) -> DataFrame:
+    """A bitmap of the hashes of ids (column doc_id), as rows (aw_word, aw_bits); its size is bounded by ID_BITS."""
+    at = id_hash()
+    return ids.select(at.alias("h")).groupBy(F.shiftright("h", 6).alias("aw_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("aw_bits"))
+
+
+def id_hash(col: str = "doc_id") -> Column:
+    return F.shiftrightunsigned(F.xxhash64(col, F.lit(9)), 64 - (ID_BITS.bit_length() - 1))
+
+
+def with_maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs with aw_maybe: false where doc_id is surely not among ids. Texts are not shuffled; the broadcast is bounded."""
+    words = F.broadcast(id_filter(ids))
+    marked = docs.withColumn("aw_hash", id_hash()).join(words, F.shiftright("aw_hash", 6) == F.col("aw_word"), "left")
+    return marked.withColumn("aw_maybe", F.coalesce(F.expr("getbit(aw_bits, cast(aw_hash % 64 as int)) = 1"), F.lit(False))).drop("aw_hash", "aw_word", "aw_bits")
+
+
+def one_per_group(docs: DataFrame, decided: DataFrame, with_key) -> DataFrame:
+    """docs with one row of each group, the one with the smallest doc_id; of several rows under that id, one.
+
+    decided: doc_id, aw_key (what tells rows of one id apart), aw_group, aw_first (the group's smallest id). with_key adds
+    aw_key to docs; it is computed for rows whose id may go only.
+    """
+    decided = save(decided, "decided")
+    stays = F.col("doc_id").eqNullSafe(F.col("aw_first"))
+    twice = decided.filter(stays).groupBy("aw_group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("aw_group")
+    again = save(decided.filter(stays).join(twice, "aw_group", "left_semi").select("doc_id", "aw_key", "aw_group").distinct(), "again")
+    gone = save(decided.filter(~stays).select("doc_id", "aw_key").unionByName(again.select("doc_id", "aw_key")).distinct(), "gone")
+    marked = with_maybe(docs, gone)
+    sure = marked.filter(~F.col("aw_maybe"))
+    maybe = with_key(marked.filter("aw_maybe"))
+    keys = gone.select(F.col("doc_id").alias("aw_id"), F.col("aw_key").alias("aw_of"))
+    left = maybe.join(keys, F.col("doc_id").eqNullSafe(F.col("aw_id")) & (F.col("aw_key") == F.col("aw_of")), "left_anti")
+    out = sure.select(*docs.columns).unionByName(left.select(*docs.columns))
+    if again.isEmpty():
+        return out
+    some = again.select(F.col("doc_id").alias("aw_id"), F.col("aw_key").alias("aw_of"), "aw_group")
+    rows = with_key(with_maybe(docs, again).filter("aw_maybe")).join(some, F.col("doc_id").eqNullSafe(F.col("aw_id")) & (F.col("aw_key") == F.col("aw_of")))
+    first = rows.withColumn("aw_n", F.row_number().over(Window.partitionBy("aw_group").orderBy("text", F.xxhash64(*docs.columns)))).filter("aw_n = 1")
+    return out.unionByName(first.select(*docs.columns))

@@ -15,14 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
 #: Fingerprints of an owner, about, and rows that a sender gathers before it sends.
 OWNED, SENT = 500_000, 250_000
-#: The most bits of the filter of suspects that is broadcast; it bounds the broadcast, not the result.
-FILTER_BITS = 1 << 25
 
 
 def rice_encode(values: np.ndarray) -> tuple[int, bytes]:
@@ -111,16 +109,7 @@ def normalised(col: str = "text"):
 
 def _collisions(docs: DataFrame, suspects: DataFrame) -> DataFrame:
     """Suspects' texts, compared by bytes: digests under which different texts lie."""
-    bits = FILTER_BITS.bit_length() - 1
-    of = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(9)), 64 - bits)
-    words = suspects.select(of.alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits"))
-    texts = (
-        docs.select("doc_id", "text", of.alias("h"))
-        .withColumn("word", F.shiftright("h", 6))
-        .join(F.broadcast(words), "word")  # at most FILTER_BITS / 64 rows
-        .filter("getbit(bits, cast(h % 64 as int)) = 1")
-        .select(normalised().alias("text"))
-    )
+    texts = common.with_maybe(docs.select("doc_id", "text"), suspects).filter("aw_maybe").select(normalised().alias("text"))
     return texts.groupBy("text").agg(F.count(F.lit(1)).alias("n")).groupBy(F.unhex(F.sha2("text", 256)).alias("sha")).agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("sha")
 
 
@@ -158,6 +147,12 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """docs without the rows that exact_duplicates does not keep."""
+    decided = exact_duplicates(docs).select("doc_id", F.col("text_sha256").alias("aw_key"), F.col("text_sha256").alias("aw_group"), F.col("keep_id").alias("aw_first"))
+    return common.one_per_group(docs, decided, lambda d: d.withColumn("aw_key", F.sha2(normalised(), 256)))
+
+
 ORACLE = """
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY ALL)

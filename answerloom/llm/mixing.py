@@ -137,6 +137,32 @@ def first_words(text, n):
     return F.pandas_udf(_heads, "string")(text, n)
 
 
+def mixed(docs: DataFrame, weights=WEIGHTS, ratio: float = RATIO, cap: float = CAP, block: int = BLOCK) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each time a document is taken, the last up to the taken word.
+
+    A document of which no word is taken gives no row, nor does one without words. n_chars, if there is one, follows the text.
+    """
+    taken = mix(docs, weights, ratio, cap, block)
+    taken = common.save(taken.select(F.col("doc_id").alias("aw_id"), F.col("size").alias("aw_size"), F.col("source_size").alias("aw_source"), F.col("taken").alias("aw_taken")), "taken")
+    if taken.groupBy("aw_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("aw_id")))
+    else:
+        # rows under one id with as many words of equal sources can stand for each other
+        sized = docs.withColumn("aw_words", F.regexp_count(common.text_or_empty(), F.lit(common.WORD)).cast("long"))
+        per = docs.select("source", F.regexp_count(common.text_or_empty(), F.lit(common.WORD)).cast("long").alias("n")).groupBy(F.col("source").alias("aw_src")).agg(F.sum("n").alias("aw_total"))
+        sized = sized.join(per, F.col("source").eqNullSafe(F.col("aw_src"))).withColumn("aw_n", F.row_number().over(Window.partitionBy("doc_id", "aw_words", "aw_total").orderBy("source", "text")))
+        taken = taken.withColumn("aw_m", F.row_number().over(Window.partitionBy("aw_id", "aw_size", "aw_source").orderBy("aw_taken")))
+        rows = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("aw_id")) & (F.col("aw_words") == F.col("aw_size")) & (F.col("aw_total") == F.col("aw_source")) & (F.col("aw_n") == F.col("aw_m")))
+    rows = rows.filter("aw_taken > 0").withColumn("aw_part", F.explode(F.expr("sequence(0L, (aw_taken - 1) div aw_size)")))
+    rest = F.expr("least(aw_size, aw_taken - aw_part * aw_size)")
+    cut = rest < F.col("aw_size")
+    text = F.when(cut, first_words(F.when(cut, F.col("text")), rest)).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
+
+
 ORACLE = """
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM d GROUP BY source),

@@ -202,7 +202,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id.
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, group_fingerprint (the component's least).
 
     component_id is the smallest doc_id that is reached over links of at most radius differing bits, itself included. Null
     and empty texts have the fingerprint zero and are linked like any other; a null id counts in no minimum (a component of
@@ -213,5 +213,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = components(near_links(classes.select("fp"), radius))
     of = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = of.join(least, "root").select("fp", "component_id")
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = of.join(least, "root").select("fp", "component_id", "root")
+    return rows.join(ids, "fp").select("doc_id", hexed("fp").alias("fingerprint"), "component_id", hexed("root").alias("group_fingerprint"))
+
+
+def hexed(col: str):
+    return F.lower(F.lpad(F.hex(col), 16, "0"))
+
+
+def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component, the one with the smallest doc_id."""
+    decided = near_duplicates(docs, radius).select("doc_id", F.col("fingerprint").alias("aw_key"), F.col("group_fingerprint").alias("aw_group"), F.col("component_id").alias("aw_first"))
+    return common.one_per_group(docs, decided, lambda d: with_fingerprint(d).withColumn("aw_key", hexed("fp")).drop("fp"))
