@@ -1,8 +1,9 @@
 """Substring dedup by content-defined chunks.
 
 A gear rolling hash over the last 16 bytes puts a boundary wherever its top bits are zero, so an insertion moves the
-boundaries near it only and equal passages are cut into equal chunks. Chunks are compared by digest; runs of consecutive
-chunks that other documents hold too are repeated passages.
+boundaries near it only and equal passages are cut at equal places. From every boundary a chunk reaches to the first
+boundary that is at least PASSAGE bytes on, so a chunk is long enough to be no accident at any size of corpus, and chunks
+overlap. Chunks are compared by digest; where chunks that other documents hold too touch, they form a repeated passage.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from . import common
 
 #: Bytes that the rolling hash looks back; one boundary in about 2^TOP_BITS bytes.
 WINDOW, TOP_BITS = 16, 5
-#: A boundary this near to another candidate before it is dropped; a chunk never exceeds the largest size.
+#: A boundary this near to another candidate before it is dropped; two boundaries are never farther apart than the largest gap.
 NEAR, LARGEST = 8, 1024
-#: A run of repeated chunks is a passage from so many bytes on.
+#: The least bytes of a chunk, and so of a repeated passage.
 PASSAGE = 72
 BATCH_BYTES = 2_000_000
 
@@ -41,7 +42,7 @@ def boundaries(buffer: np.ndarray) -> np.ndarray:
 
 
 def cut(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """For each text the ends of its chunks."""
+    """For each text its boundaries, the end included."""
     buffer = np.frombuffer((b"\0" * (WINDOW - 1)).join(texts), np.uint8)
     at, lo = boundaries(buffer), 0
     for t in texts:
@@ -57,69 +58,86 @@ def cut(texts: list[bytes]) -> Iterator[np.ndarray]:
         lo += len(t) + WINDOW - 1
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
-    digest = xxhash.xxh3_128_digest
-    for batch in batches:
-        rows, ids = batch.column(0), batch.column(1)
-        texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
-        lo = 0
-        while lo < len(texts):
-            hi, size = lo + 1, len(texts[lo])
-            while hi < len(texts) and size + len(texts[hi]) <= BATCH_BYTES:
-                size += len(texts[hi])
-                hi += 1
-            n, starts, lengths, blobs = [], [], [], []
-            for t, ends in zip(texts[lo:hi], cut(texts[lo:hi]), strict=True):
-                begin = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
-                n.append(len(ends))
-                starts.append(begin)
-                lengths.append(ends - begin)
-                blobs += [digest(t[a:b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
-            owner = pa.array(np.repeat(np.arange(lo, hi), n))
-            raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 16)
-            yield pa.RecordBatch.from_arrays(
-                [rows.take(owner), ids.take(owner), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(lengths).astype(np.int32)), pa.array(raw[:, :8].copy().view("<i8").ravel()), pa.array(raw[:, 8:12].copy().view("<i4").ravel())],
-                ["row", "doc_id", "at", "size", "digest", "check"],
-            )
-            lo = hi
-
-
-def chunks(docs: DataFrame) -> DataFrame:
+def spans(ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the chunks between boundaries start and end: each from `least` bytes on, the last one up to the text's end."""
+    begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    upto = np.searchsorted(ends, begin + least)
+    whole = upto < len(ends)
+    begin, end = begin[whole], ends[upto[whole]]
+    if len(end) and end[-1] < ends[-1]:
+        begin, end = np.append(begin, begin[-1]), np.append(end, ends[-1])
+    return begin, end
+
+
+def _chunks(least: int):
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            rows, ids = batch.column(0), batch.column(1)
+            texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
+            lo = 0
+            while lo < len(texts):
+                hi, size = lo + 1, len(texts[lo])
+                while hi < len(texts) and size + len(texts[hi]) <= BATCH_BYTES:
+                    size += len(texts[hi])
+                    hi += 1
+                n, starts, sizes, blobs = [], [], [], []
+                for t, ends in zip(texts[lo:hi], cut(texts[lo:hi]), strict=True):
+                    a, b = spans(ends, least) if len(ends) else (np.zeros(0, np.int64),) * 2
+                    n.append(len(a))
+                    starts.append(a)
+                    sizes.append(b - a)
+                    blobs += [digest(t[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+                owner = pa.array(np.repeat(np.arange(lo, hi), n))
+                raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 16)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.take(owner), ids.take(owner), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(raw[:, :8].copy().view("<i8").ravel()), pa.array(raw[:, 8:12].copy().view("<i4").ravel())],
+                    ["row", "doc_id", "at", "size", "digest", "check"],
+                )
+                lo = hi
+
+    return chunks
+
+
+def chunks(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     """One row per chunk: row (of the text), doc_id, at and size in bytes of UTF-8, and 96 bits of its digest."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_chunks, f"row long, doc_id {kind}, at int, size int, digest long, check int")
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_chunks(least), f"row long, doc_id {kind}, at int, size int, digest long, check int")
 
 
 def repeated_passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
-    """One row per repeated passage: doc_id, start, end (bytes), n_chunks, n_copies, first_doc_id, repeated_bytes.
+    """One row per repeated passage: doc_id, start, end (bytes), n_chunks, n_copies, first_doc_id, later.
 
-    A passage is a run of consecutive chunks of one text that each occur under at least two ids, of at least `least` bytes.
-    n_copies is the most occurrences of any of its chunks; first_doc_id the smallest id that holds one of them;
-    repeated_bytes are those of chunks that a smaller id holds too, which a dedup cuts out. Texts without repeats give no
-    row, nor do null and empty texts; rows with a null id are compared under one id below all others. Repeated rows under the
-    same id are one document.
+    A passage is the union of touching chunks of one text that each occur under at least two ids; it has at least `least`
+    bytes. later tells passages that a smaller id holds too, which a dedup cuts out, from the first occurrences. n_copies is
+    the most occurrences of any of its chunks, first_doc_id the smallest id that holds one of them. Texts without repeats
+    give no row, nor do null and empty texts; rows with a null id are compared under one id below all others. Repeated rows
+    under the same id are one document.
     """
     kind = docs.schema["doc_id"].dataType
-    ours = common.save(chunks(docs), "chunks")
+    ours = common.save(chunks(docs, least), "chunks")
     key = ["digest", "check"]
     shared = ours.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("doc_id").alias("named"), F.count(F.lit(1)).alias("copies"))
     shared = shared.filter("first <> last or (named > 0 and named < copies)").select(*key, F.when(F.col("named") == F.col("copies"), F.col("first")).otherwise(F.lit(None).cast(kind)).alias("first"), "copies")
-    marked = ours.join(shared, key).drop(*key)
-    order = Window.partitionBy("row").orderBy("at")
-    marked = marked.withColumn("new", F.coalesce((F.lag(F.col("at") + F.col("size")).over(order) != F.col("at")).cast("int"), F.lit(1)))
+    marked = ours.join(shared, key).select("row", "doc_id", "at", (F.col("at") + F.col("size")).alias("end"), "first", "copies", (~F.col("first").eqNullSafe(F.col("doc_id"))).alias("later"))
+    order = Window.partitionBy("row", "later").orderBy("at", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = marked.withColumn("new", F.coalesce((F.col("at") > before).cast("int"), F.lit(1)))
     marked = marked.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = marked.groupBy("row", "run").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.min("at").cast("long").alias("start"),
-        F.max(F.col("at") + F.col("size")).cast("long").alias("end"),
-        F.count(F.lit(1)).alias("n_chunks"),
-        F.max("copies").alias("n_copies"),
-        F.min("first").alias("first_doc_id"),
-        F.sum(F.when(F.col("first").eqNullSafe(F.col("doc_id")), 0).otherwise(F.col("size"))).alias("repeated_bytes"),
+    return (
+        marked.groupBy("row", "later", "run")
+        .agg(
+            F.first("doc_id").alias("doc_id"),
+            F.min("at").cast("long").alias("start"),
+            F.max("end").cast("long").alias("end"),
+            F.count(F.lit(1)).alias("n_chunks"),
+            F.max("copies").alias("n_copies"),
+            F.min(F.struct(F.col("first").isNotNull().alias("named"), "first"))["first"].alias("first_doc_id"),
+        )
+        .select("doc_id", "start", "end", "n_chunks", "n_copies", "first_doc_id", "later")
     )
-    return runs.filter(F.col("end") - F.col("start") >= least).drop("row", "run")
 
 
 def _without(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -135,7 +153,7 @@ def _without(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
 
 
 def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """docs with the passages cut out of text, but those that no smaller id holds (repeated_bytes = 0)."""
-    spans = passages.filter("repeated_bytes > 0").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    both = docs.join(spans.withColumnRenamed("doc_id", "span_id"), F.col("doc_id") == F.col("span_id"), "left")
+    """docs with the later passages cut out of text; a character that a passage's edge halves goes with it."""
+    found = passages.filter("later and doc_id is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    both = docs.join(found.withColumnRenamed("doc_id", "span_id"), F.col("doc_id") == F.col("span_id"), "left")
     return both.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.pandas_udf(_without, "string")("text", "spans"))).select(*docs.columns)
