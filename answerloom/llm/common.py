@@ -53,6 +53,17 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+#: Rows of an Arrow batch where the session leaves the default, which is meant for short rows; texts are long.
+ARROW_ROWS = 2000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Fewer rows to an Arrow batch, so that neither side of it holds tens of MB; another setting of the user's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, ARROW_ROWS)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

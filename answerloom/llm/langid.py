@@ -207,6 +207,7 @@ def identify(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
     or one without a letter is `und`, as are all where no language could be learnt; rows with a null lang are predicted but
     not learnt from; null ids and repeated rows give a row each. Texts are parsed whole, and no text is shuffled.
     """
+    common.short_batches(docs.sparkSession)
     return docs.select(
         "doc_id", (common.crc_of_id() % folds == held_out).alias("held_out"), F.pandas_udf(_predict(learn(docs, folds, held_out)), "lang_pred string, score double")(common.text_or_empty()).alias("p")
     ).select("doc_id", "held_out", "p.lang_pred", "p.score")

@@ -142,6 +142,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, ratio: float = RATIO, cap: float = C
 
     A document of which no word is taken gives no row, nor does one without words. n_chars, if there is one, follows the text.
     """
+    common.short_batches(docs.sparkSession)
     taken = mix(docs, weights, ratio, cap, block)
     taken = common.save(taken.select(F.col("doc_id").alias("aw_id"), F.col("size").alias("aw_size"), F.col("source_size").alias("aw_source"), F.col("taken").alias("aw_taken")), "taken")
     if taken.groupBy("aw_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():

@@ -80,6 +80,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     Needs doc_id and text. A null or empty text has no words, fails the base rules and has a null ratio; null ids and
     repeated rows give a row each; a text of any length is measured whole. No shuffle.
     """
+    common.short_batches(docs.sparkSession)
     measured = docs.select("doc_id", F.pandas_udf(_measures, FIELDS)(common.text_or_empty()).alias("m"), F.octet_length(common.text_or_empty()).alias("bytes"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     within = F.lit(True)

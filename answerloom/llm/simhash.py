@@ -60,6 +60,7 @@ def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
     """docs with a column fp: the fingerprint's bits as a signed long."""
+    common.short_batches(docs.sparkSession)
     return docs.withColumn("fp", F.pandas_udf(_fingerprints, "long")(common.text_or_empty()))
 
 

@@ -103,6 +103,7 @@ def _chunks(least: int):
 
 def chunks(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     """One row per chunk: row (of the text), doc_id, at and size in bytes of UTF-8, and 96 bits of its digest."""
+    common.short_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_chunks(least), f"row long, doc_id {kind}, at int, size int, digest long, check int")
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import common
 
 #: Characters of text that are worked on at once.
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 1_500_000
 
 #: Characters on which both libraries surely agree.
 PLAIN = np.zeros(0x110000, bool)
@@ -159,9 +159,9 @@ def split_safely(text: str) -> list[str]:
     return [p for p in parts if p]
 
 
-def long_runs(text: str, chars: int = BATCH_CHARS) -> Iterator[str]:
+def long_runs(text: str, chars: int | None = None) -> Iterator[str]:
     """A very long text in runs of whole parts; all but the first start with their space. One without safe boundaries stays whole."""
-    lo = 0
+    lo, chars = 0, chars or BATCH_CHARS
     safe = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
     while len(text) - lo > chars and (m := safe.search(text, lo + chars)):
         yield text[lo : m.start()]
@@ -175,9 +175,9 @@ def coder(path: str) -> Coder:
     return _loaded[path]
 
 
-def balanced(texts: list, chars: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
+def balanced(texts: list, chars: int | None = None) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about as many characters each; a longer text is alone."""
-    lo = size = 0
+    lo, size, chars = 0, 0, chars or BATCH_CHARS
     for i, t in enumerate(texts):
         n = len(t)
         if size and size + n > chars:
@@ -219,6 +219,7 @@ def count_tokens(docs: DataFrame, limit: int = 512, path: str | None = None) ->
     Needs doc_id and text; other columns are not read. A null text counts as empty (0 bytes, 0 tokens); null ids and
     repeated rows give a row each; an empty table gives no rows. No shuffle: texts go to Arrow batches where they are read.
     """
+    common.short_batches(docs.sparkSession)
     text = common.text_or_empty()
     return (
         docs.select("doc_id", text.alias("text"))
@@ -257,5 +258,6 @@ def token_pieces(docs: DataFrame, room: int = 2048, end_id: int = 0, path: str |
     Returns doc_id, piece (from 0), start, length and ids (little-endian unsigned 32-bit numbers in a binary column;
     numpy.frombuffer(ids, "<u4") reads them). A null or empty text is one piece that holds end_id alone.
     """
+    common.short_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_cut(path or common.tokenizer_path(), room, end_id), f"doc_id {kind}, piece int, start long, length long, ids binary")

@@ -18,12 +18,12 @@ from . import common
 ORDERS = (3, 4, 5, 6)
 BITS = 22
 #: The bounds of the labelled sample that is learnt from: rows of either class, and characters of a row.
-ROWS_OF_CLASS, LONGEST = 1500, 20_000
+ROWS_OF_CLASS, LONGEST = 1000, 8_000
 #: An n-gram counts as a feature from so many texts of a class on; so many of the largest ratios are kept.
 LEAST_TEXTS, FEATURES = 3, 4096
 SMOOTHING, PENALTY = 1.0, 1e-3
 #: Characters that are worked on at once.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 400_000
 
 #: Symbols of characters: 0 for all but letters, else a number of 16 bits, the same for both cases.
 _symbols: list[np.ndarray] = []
@@ -100,14 +100,15 @@ def fit(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, fl
     toxic = np.asarray(toxic, bool)
     if not len(texts) or toxic.all() or not toxic.any():
         return np.zeros(0, np.int64), np.zeros(0), 0.0
-    pairs = [present(texts[lo:hi]) + (np.int64(lo) << BITS) for lo, hi in in_batches(texts)]
-    counts = []
-    for side in (True, False):
-        n = np.zeros(1 << BITS, np.int32)
-        for p in pairs:
-            of = toxic[p >> BITS] == side
-            n += np.bincount(p[of] & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
-        counts.append(n)
+    held = []  # for ranges of texts: the first, the places of all, how many each text has
+    for lo, hi in in_batches(texts):
+        p = present(texts[lo:hi])
+        held.append((lo, (p & ((1 << BITS) - 1)).astype(np.int32), np.bincount(p >> BITS, minlength=hi - lo)))
+    counts = [np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)]
+    for lo, place, n in held:
+        of = np.repeat(toxic[lo : lo + len(n)], n)
+        counts[0] += np.bincount(place[of], minlength=1 << BITS).astype(np.int32)
+        counts[1] += np.bincount(place[~of], minlength=1 << BITS).astype(np.int32)
     a, b = ((n + SMOOTHING) / (m + 2 * SMOOTHING) for n, m in zip(counts, (toxic.sum(), (~toxic).sum()), strict=True))
     ratio = np.log(a / b)
     often = np.maximum(*counts) >= LEAST_TEXTS
@@ -116,9 +117,9 @@ def fit(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, fl
     column = np.full(1 << BITS, -1, np.int32)
     column[places] = np.arange(len(places))
     rows, cols = [], []
-    for p in pairs:
-        c = column[p & ((1 << BITS) - 1)]
-        rows.append((p >> BITS)[c >= 0])
+    for lo, place, n in held:
+        c = column[place]
+        rows.append(np.repeat(np.arange(lo, lo + len(n)), n)[c >= 0])
         cols.append(c[c >= 0])
     rows, cols, r = np.concatenate(rows), np.concatenate(cols), ratio[places]
     # classes count alike; values are scaled so that a text's features have about unit length
@@ -180,6 +181,7 @@ def _scores(model):
 
 
 def score_column(spark, model):
+    common.short_batches(spark)
     return F.pandas_udf(_scores(spark.sparkContext.broadcast(model)), "double")(common.text_or_empty())
 
 
