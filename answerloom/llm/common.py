@@ -118,7 +118,7 @@ def one_per_group(docs: DataFrame, decided: DataFrame, with_key) -> DataFrame:
     sure = marked.filter(~F.col("aw_maybe"))
     maybe = with_key(marked.filter("aw_maybe"))
     keys = gone.select(F.col("doc_id").alias("aw_id"), F.col("aw_key").alias("aw_of"))
-    left = maybe.join(keys, F.col("doc_id").eqNullSafe(F.col("aw_id")) & (F.col("aw_key") == F.col("aw_of")), "left_anti")
+    left = maybe.join(keys.hint("merge"), F.col("doc_id").eqNullSafe(F.col("aw_id")) & (F.col("aw_key") == F.col("aw_of")), "left_anti")
     out = sure.select(*docs.columns).unionByName(left.select(*docs.columns))
     if again.isEmpty():
         return out

@@ -131,14 +131,15 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     rows = sent.filter("kind = 0").select("doc_id", "sha", "sender", "row", "owner", "place")
     answers = sent.filter("kind = 1").select("sender", "owner", "k", "n", "own", "block").groupBy("owner").applyInArrow(_answer, "sender long, owner int, bitmap array<long>")
     marked = common.save(
-        rows.join(answers, ["sender", "owner"]).select("doc_id", "sha", "sender", "row", F.expr("getbit(bitmap[cast(place div 64 as int)], cast(place % 64 as int)) = 1").alias("suspect")), "marked"
+        rows.join(answers.hint("merge"), ["sender", "owner"]).select("doc_id", "sha", "sender", "row", F.expr("getbit(bitmap[cast(place div 64 as int)], cast(place % 64 as int)) = 1").alias("suspect")), "marked"
     )
     suspects = marked.filter("suspect")
     if not (bad := _collisions(docs, suspects)).isEmpty():
         raise ValueError(f"different texts under the same SHA-256: {[r.sha.hex() for r in bad.limit(3).collect()]}")
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "sender", "row")
-    groups = suspects.groupBy("sha").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return marked.join(groups, "sha", "left").select(
+    # written first, so that the join stands alone and a digest with very many rows is split
+    groups = common.save(suspects.groupBy("sha").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "groups")
+    return marked.join(groups.hint("merge"), "sha", "left").select(
         "doc_id",
         F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
