@@ -112,9 +112,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, ratio: float = RATIO, cap: float = CAP
     sized = sizes(docs)
     per = common.save(targets(sized, weights, ratio, cap), "targets")
     plan = schedule(quotas(per, block), block)
-    taken = segments(sized, per, block).join(plan.select("src", "block", "take"), ["src", "block"])
+    taken = segments(sized, per, block).join(plan.select("src", "block", "take").hint("merge"), ["src", "block"])
     taken = taken.groupBy("row").agg(F.sum(F.greatest(F.least(F.col("words"), F.col("take") - F.col("at")), F.lit(0))).alias("taken"))
-    out = sized.join(taken, "row", "left")
+    out = sized.join(taken.hint("merge"), "row", "left")
     return out.join(per, out["source"].eqNullSafe(per["source"])).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -146,7 +146,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, ratio: float = RATIO, cap: float = C
     taken = mix(docs, weights, ratio, cap, block)
     taken = common.save(taken.select(F.col("doc_id").alias("aw_id"), F.col("size").alias("aw_size"), F.col("source_size").alias("aw_source"), F.col("taken").alias("aw_taken")), "taken")
     if taken.groupBy("aw_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("aw_id")))
+        rows = docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("aw_id")))
     else:
         # rows under one id with as many words of equal sources can stand for each other
         sized = docs.withColumn("aw_words", F.regexp_count(common.text_or_empty(), F.lit(common.WORD)).cast("long"))

@@ -83,7 +83,7 @@ def pack(pieces: DataFrame, room: int = ROOM) -> DataFrame:
     steps = spark.createDataFrame(plan(histogram, room), "length long, lo long, hi long, each long, sequence long, at long")
     before = parts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     ranked = short.withColumn("part", F.shiftright("row", TASK_BITS)).withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("row")) - 1)
-    ranked = ranked.join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before")).drop("part", "before")
+    ranked = ranked.join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before")).drop("part", "before")
     steps = F.broadcast(steps)  # a few rows for each of at most room lengths
     placed = ranked.join(steps, (ranked["length"] == steps["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(
         *(ranked[c] for c in pieces.columns),
