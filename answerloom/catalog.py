@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Modules that register queries as they are imported.
+MODULES = ("operators.retrieval", "operators.chunking", "operators.gate", "operators.prompts", "operators.scoring", "plans.runs")
 
 
 def query(sql: str | None = None):
@@ -22,9 +25,16 @@ def query(sql: str | None = None):
     return register
 
 
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"answerloom.{name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return SQL
