@@ -64,6 +64,18 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, ARROW_ROWS)
 
 
+#: Parts that a group is cut into before its first rows are taken.
+SALTS = 64
+
+
+def first_of_each(rows: DataFrame, by: str, n: int, h: str = "h", tie: str = "doc_id") -> DataFrame:
+    """The n rows of each group with the least (h, tie). Parts of a group are cut to n rows first, so no task sees a whole group."""
+    salted = rows.withColumn("aw_salt", F.pmod(F.xxhash64(h, tie), F.lit(SALTS)))
+    for keys in ((by, "aw_salt"), (by,)):
+        salted = salted.withColumn("aw_n", F.row_number().over(Window.partitionBy(*keys).orderBy(h, tie))).filter(F.col("aw_n") <= n).drop("aw_n")
+    return salted.drop("aw_salt")
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -152,9 +152,8 @@ def learn(docs: DataFrame, folds: int = 4, held_out: int = 2) -> dict[str, str]:
     """
     ours = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & (common.crc_of_id() % folds != held_out) & F.length("text").between(1, SAMPLE_CHARS // 2) & F.col("text").rlike(r"\p{L}"))
     # ids first, so that sorting moves no text
-    by = Window.partitionBy("lang").orderBy("h", "doc_id")
-    drawn = ours.select("doc_id", "lang", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(3)).alias("h")).withColumn("n", F.row_number().over(by)).filter(F.col("n") <= SAMPLE_ROWS)
-    texts = ours.join(F.broadcast(drawn.drop("lang").dropDuplicates(["doc_id"])), "doc_id").select("lang", "h", "doc_id", "text")
+    drawn = common.first_of_each(ours.select("doc_id", "lang", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(3)).alias("h")), "lang", SAMPLE_ROWS)
+    texts = ours.join(F.broadcast(drawn.select("doc_id", "h").dropDuplicates(["doc_id"])), "doc_id").select("lang", "h", "doc_id", "text")
     running = Window.partitionBy("lang").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
     rows = texts.withColumn("upto", F.sum(F.length("text")).over(running)).filter(F.col("upto") <= SAMPLE_CHARS).orderBy("lang", "upto").collect()
     out: dict[str, list[str]] = {}

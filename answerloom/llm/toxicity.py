@@ -152,8 +152,8 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0)
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(common.crc_of_id() % folds != held_out).withColumn("h", F.xxhash64("doc_id", F.lit(4)))
     # the sample is drawn among ids first (a few more than needed), so that only its texts are read into memory
-    sample = [known.filter(f"toxic = {c}").orderBy("h", "doc_id").limit(2 * ROWS_OF_CLASS) for c in (0, 1)]
-    texts = ours.join(F.broadcast(sample[0].unionByName(sample[1])), "doc_id").select("h", "doc_id", "toxic", "text")
+    sample = common.first_of_each(known, "toxic", 2 * ROWS_OF_CLASS)
+    texts = ours.join(F.broadcast(sample), "doc_id").select("h", "doc_id", "toxic", "text")
     rows = [r for c in (0, 1) for r in texts.filter(f"toxic = {c}").orderBy("h", "doc_id", "text").limit(ROWS_OF_CLASS).collect()]
     return fit([r.text for r in rows], np.array([r.toxic for r in rows], bool))
 
