@@ -58,10 +58,10 @@ def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(np.array([fingerprint(t or "") for t in batch.tolist()], np.uint64).astype(np.int64))
 
 
-def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """docs with a column fp: the fingerprint's bits as a signed long."""
+def with_fingerprint(docs: DataFrame, name: str = "fp") -> DataFrame:
+    """docs with a column of the fingerprint's bits as a signed long."""
     common.short_batches(docs.sparkSession)
-    return docs.withColumn("fp", F.pandas_udf(_fingerprints, "long")(common.text_or_empty()))
+    return docs.withColumn(name, F.pandas_udf(_fingerprints, "long")(common.text_or_empty()))
 
 
 def bands(n_bands: int) -> list[tuple[int, int]]:
@@ -225,4 +225,4 @@ def hexed(col: str):
 def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component, the one with the smallest doc_id."""
     decided = near_duplicates(docs, radius).select("doc_id", F.col("fingerprint").alias("aw_key"), F.col("group_fingerprint").alias("aw_group"), F.col("component_id").alias("aw_first"))
-    return common.one_per_group(docs, decided, lambda d: with_fingerprint(d).withColumn("aw_key", hexed("fp")).drop("fp"))
+    return common.one_per_group(docs, decided, lambda d: with_fingerprint(d, "aw_fp").withColumn("aw_key", hexed("aw_fp")).drop("aw_fp"))
