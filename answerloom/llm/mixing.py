@@ -84,7 +84,7 @@ def schedule(quota: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def segments(sized: DataFrame, per: DataFrame, block: int = BLOCK, seed: str = "mix") -> DataFrame:
-    """One row per document and block: row, src, block, at (first word in the block), words.
+    """One row per document and block: row, src, block, at (first word in the block), start (first word in the document), words.
 
     A source's documents stand in the order of a hash. It is cut into ranges of about BUCKET documents, so that no task
     sorts a whole source; the words before a range come from the small table of ranges.
@@ -98,10 +98,20 @@ def segments(sized: DataFrame, per: DataFrame, block: int = BLOCK, seed: str = "
     order = Window.partitionBy("src", "range").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     placed = docs.withColumn("upto", F.sum("size").over(order)).join(small, ["src", "range"]).filter("size > 0").select("row", "src", (F.col("before") + F.col("upto") - F.col("size")).alias("lo"), (F.col("before") + F.col("upto")).alias("hi"))
     return placed.select("row", "src", "lo", "hi", F.explode(F.expr(f"sequence(lo div {block}, (hi - 1) div {block})")).alias("block")).select(
-        "row", "src", "block", F.greatest(F.col("lo") - F.col("block") * block, F.lit(0)).alias("at"), (F.least("hi", (F.col("block") + 1) * block) - F.greatest("lo", F.col("block") * block)).alias("words")
+        "row", "src", "block", F.greatest(F.col("lo") - F.col("block") * block, F.lit(0)).alias("at"), F.greatest(F.col("block") * block - F.col("lo"), F.lit(0)).alias("start"), (F.least("hi", (F.col("block") + 1) * block) - F.greatest("lo", F.col("block") * block)).alias("words")
     )
 
 
+def scheduled(sized: DataFrame, per: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix, written once: row, slot, block, at, start, words. In the order of slot and at it holds the taken words.
+
+    One row per slot and document with words in it: words from the document's word `start` on, at the block's word `at`.
+    """
+    plan = schedule(quotas(per, block), block).select("slot", "src", "block", "take")
+    taken = segments(sized, per, block).join(plan.hint("merge"), ["src", "block"]).withColumn("words", F.least(F.col("words"), F.col("take") - F.col("at")))
+    return common.save(taken.filter("words > 0").select("row", "slot", "block", "at", "start", "words"), "blocks")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, ratio: float = RATIO, cap: float = CAP, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target (its source's), taken (words, repeats counted).
 
@@ -111,57 +121,66 @@ def mix(docs: DataFrame, weights=WEIGHTS, ratio: float = RATIO, cap: float = CAP
     """
     sized = sizes(docs)
     per = common.save(targets(sized, weights, ratio, cap), "targets")
-    plan = schedule(quotas(per, block), block)
-    taken = segments(sized, per, block).join(plan.select("src", "block", "take").hint("merge"), ["src", "block"])
-    taken = taken.groupBy("row").agg(F.sum(F.greatest(F.least(F.col("words"), F.col("take") - F.col("at")), F.lit(0))).alias("taken"))
+    taken = scheduled(sized, per, block).groupBy("row").agg(F.sum("words").alias("taken"))
     out = sized.join(taken.hint("merge"), "row", "left")
     return out.join(per, out["source"].eqNullSafe(per["source"])).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def _heads(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _pieces(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     import re
 
     word = re.compile(common.WORD)
-    for text, n in texts:
+    for texts, blocks in batches:
         out = []
-        for t, k in zip(text.tolist(), n.tolist(), strict=True):
-            end = 0
-            for _, m in zip(range(int(k)), word.finditer(t or ""), strict=False):
-                end = m.end()
-            out.append((t or "")[:end])
+        for t, some in zip(texts.tolist(), blocks.tolist(), strict=True):
+            if t is None:
+                out.append(None)
+                continue
+            ends = [0, *(m.end() for m in word.finditer(t))]
+            last = len(ends) - 1
+            out.append([t[ends[b["start"]] : len(t) if b["start"] + b["words"] == last else ends[b["start"] + b["words"]]] for b in some])
         yield pd.Series(out)
 
 
-def first_words(text, n):
-    """The text up to the end of its n-th word."""
-    return F.pandas_udf(_heads, "string")(text, n)
+def pieces(text, blocks):
+    """For each block the text from the end of the word before its first to the end of its last; the last word's goes to the text's end."""
+    return F.pandas_udf(_pieces, "array<string>")(text, blocks)
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, ratio: float = RATIO, cap: float = CAP, block: int = BLOCK) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each time a document is taken, the last up to the taken word.
+def mixed(docs: DataFrame, weights=WEIGHTS, ratio: float = RATIO, cap: float = CAP, block: int = BLOCK, order: bool = False) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each block of a slot and document in it, sorted by slot and place.
 
-    A document of which no word is taken gives no row, nor does one without words. n_chars, if there is one, follows the text.
+    A document that lies in several blocks is cut at their edges, at ends of words, and comes back in every round. One of
+    which no word is taken gives no row, nor does one without words. n_chars, if there is one, follows the text. order adds
+    slot, block, at (first word in the block), start (first word in the document) and words, which docs must not have then.
     """
     common.short_batches(docs.sparkSession)
-    taken = mix(docs, weights, ratio, cap, block)
-    taken = common.save(taken.select(F.col("doc_id").alias("aw_id"), F.col("size").alias("aw_size"), F.col("source_size").alias("aw_source"), F.col("taken").alias("aw_taken")), "taken")
-    if taken.groupBy("aw_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        rows = docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("aw_id")))
+    sized = sizes(docs)
+    per = common.save(targets(sized, weights, ratio, cap), "targets")
+    places = ("slot", "block", "at", "start", "words")
+    taken = scheduled(sized, per, block).groupBy("row").agg(F.sort_array(F.collect_list(F.struct(*places))).alias("aw_blocks"))
+    taken = sized.join(taken.hint("merge"), "row").join(per.select("source", "source_size"), sized["source"].eqNullSafe(per["source"]))
+    taken = common.save(taken.select(F.col("doc_id").alias("aw_id"), F.col("size").alias("aw_size"), F.col("source_size").alias("aw_source"), "aw_blocks"), "taken")
+    if sized.filter("size > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        # a row without words under the id of another takes none
+        rows = docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("aw_id")) & common.text_or_empty().rlike(common.WORD))
     else:
         # rows under one id with as many words of equal sources can stand for each other
         sized = docs.withColumn("aw_words", F.regexp_count(common.text_or_empty(), F.lit(common.WORD)).cast("long"))
-        per = docs.select("source", F.regexp_count(common.text_or_empty(), F.lit(common.WORD)).cast("long").alias("n")).groupBy(F.col("source").alias("aw_src")).agg(F.sum("n").alias("aw_total"))
-        sized = sized.join(per, F.col("source").eqNullSafe(F.col("aw_src"))).withColumn("aw_n", F.row_number().over(Window.partitionBy("doc_id", "aw_words", "aw_total").orderBy("source", "text")))
-        taken = taken.withColumn("aw_m", F.row_number().over(Window.partitionBy("aw_id", "aw_size", "aw_source").orderBy("aw_taken")))
+        totals = docs.select("source", F.regexp_count(common.text_or_empty(), F.lit(common.WORD)).cast("long").alias("n")).groupBy(F.col("source").alias("aw_src")).agg(F.sum("n").alias("aw_total"))
+        sized = sized.join(totals, F.col("source").eqNullSafe(F.col("aw_src"))).withColumn("aw_n", F.row_number().over(Window.partitionBy("doc_id", "aw_words", "aw_total").orderBy("source", "text")))
+        taken = taken.withColumn("aw_m", F.row_number().over(Window.partitionBy("aw_id", "aw_size", "aw_source").orderBy("aw_blocks")))
         rows = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("aw_id")) & (F.col("aw_words") == F.col("aw_size")) & (F.col("aw_total") == F.col("aw_source")) & (F.col("aw_n") == F.col("aw_m")))
-    rows = rows.filter("aw_taken > 0").withColumn("aw_part", F.explode(F.expr("sequence(0L, (aw_taken - 1) div aw_size)")))
-    rest = F.expr("least(aw_size, aw_taken - aw_part * aw_size)")
-    cut = rest < F.col("aw_size")
-    text = F.when(cut, first_words(F.when(cut, F.col("text")), rest)).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
+    cut = F.exists("aw_blocks", lambda b: b["words"] < F.col("aw_size"))
+    rows = rows.withColumn("aw_pieces", pieces(F.when(cut, F.col("text")), F.when(cut, F.col("aw_blocks"))))
+    each = F.transform("aw_blocks", lambda b, i: F.struct(b.alias("place"), F.get("aw_pieces", i).alias("piece")))
+    rows = rows.withColumn("aw_each", F.explode(each)).withColumn("text", F.coalesce("aw_each.piece", "text"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    # written before it is sorted, as the sort first draws a sample of its rows
+    rows = common.save(rows.select(*docs.columns, F.col("aw_each.place").alias("aw_place")), "mixed")
+    rows = rows.orderBy("aw_place.slot", "aw_place.at")
+    return rows.select(*docs.columns, *(F.col(f"aw_place.{c}").alias(c) for c in places if order))
 
 
 ORACLE = """

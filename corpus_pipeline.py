@@ -24,7 +24,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one at a source's end is cut at its last word taken."""
+    """The mix in the order of its schedule: documents as often as it takes them, cut at the edges of its blocks."""
     return mixing.mixed(docs)
 
 

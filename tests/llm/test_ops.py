@@ -88,6 +88,28 @@ def test_mixed_texts_hold_the_words_taken(odd):
     assert sum(len(WORD.findall(r.text)) for r in mixing.mixed(odd).collect()) == want
 
 
+def test_mixed_blocks_follow_the_schedule(docs, texts):
+    quota = mixing.quotas(mixing.targets(mixing.sizes(docs)), 64)
+    held = {r.src: r.source_size for r in quota.collect()}
+    want = [min(r.take, held[r.src] - 64 * r.block) for r in mixing.schedule(quota, 64).orderBy("slot").collect()]
+    source = {r.doc_id: r.source for r in docs.collect()}
+    got = mixing.mixed(docs, block=64, order=True).collect()
+    assert [(r.slot, r["at"]) for r in got] == sorted((r.slot, r["at"]) for r in got)
+    slots = {}
+    for r in got:
+        assert WORD.findall(r.text) == WORD.findall(texts[r.doc_id])[r.start : r.start + r.words] and r.text in texts[r.doc_id]
+        slots.setdefault(r.slot, []).append(r)
+    assert [sum(r.words for r in rows) for _, rows in sorted(slots.items())] == want
+    assert all(len({source[r.doc_id] for r in rows}) == 1 for rows in slots.values())
+    assert [r.text for r in mixing.mixed(docs, block=64).collect()] == [r.text for r in got]
+    first, whole = Counter(), Counter(source.values())
+    for r in got[: len(got) // 2]:
+        first[r.source] += r.words
+    for r in got:
+        whole[r.source] += r.words
+    assert all(abs(first[s] / sum(first.values()) - whole[s] / sum(whole.values())) < 0.06 for s in whole)
+
+
 def test_schedule_is_a_permutation_and_spread(docs):
     per = mixing.targets(mixing.sizes(docs))
     quota = mixing.quotas(per, 16)
