@@ -254,6 +254,25 @@ def test_bands_reject_repeats_and_noise(spark):
     assert ratios[1] > 5.5 and not rows[1].kept and ratios[2] < ratios[0]
 
 
+def test_bands_at_every_length(spark, texts):
+    rng = random.Random(11)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    noise = lambda letters, n, k: " ".join("".join(rng.choice(letters) for _ in range(k)) for _ in range(n // (k + 1) + 1))[:n]
+    word = lambda: "".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(rng.randint(3, 7)))
+    form = lambda n: " ".join(f"Dear {word()} your shipment {word()} containing merchandise {word()} departing from {word()} will arrive {word()} requiring signature." for _ in range(n // 60))[:n]
+    lengths = (511, 512, 800, 1023, 1024, 2047, 2048, 4095, 4096, 9000, 16_384, 65_536, 200_000)
+    bad = [noise(base64, n, k) for n in lengths for k in (4, 8)] + [noise(base64, 300, 4), noise(base64, 383, 4)]
+    bad += [noise("".join(map(chr, range(33, 127))), n, 8) for n in lengths] + [form(n) for n in (1500, 3000, 9000, 30_000, 100_000)]
+    prose = "\n".join(t for t in texts.values() if len(set(t.split())) > 50)
+    good = [prose[:n].replace("\n", " ") for n in (400, 600, 1200, 3000, 10_000, 20_000)]
+    rows = spark.createDataFrame(list(enumerate(bad + good)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.quality_rules(rows).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [(i, r.ratio) for i, r in got.items() if r.kept and i < len(bad)] == []
+    assert [(i, r.ratio) for i, r in got.items() if not r.kept and i >= len(bad)] == []
+    assert all(r.kept for r in quality.quality_rules(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect() if not r.base_failed)
+
+
 def test_exact(odd):
     want = {}
     rows = odd.collect()
