@@ -1,6 +1,7 @@
 """Secret scans with a random forest that removes false positives; DataFrame operations only.
 
-Candidates are long unbroken runs of token characters with a digit. The forest sees the candidate's length, its character
+Candidates are long unbroken runs of token characters with a digit, or of letters alone, values of any shape that a secret's
+name is set to, passwords in URLs and the bodies of private keys; a name and its "=" are context. The forest sees the candidate's length, its character
 transitions, how much of it a dictionary covers, its path and the words beside it, and is trained on labelled findings.
 """
 
@@ -14,15 +15,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
 
-#: A run of token characters, with a digit, that no token character precedes.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=.\-])(?=[A-Za-z_+/=.\-]*[0-9])[A-Za-z0-9_+/=.\-]{16,}"
+_NAMES = r"(?i:passw(?:or)?d|pwd|passphrase|secret|token|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|credentials?|auth)"
+#: The body of a private key, up to its closing line.
+_PEM = r"(?<=-)(?<=-----BEGIN [A-Z0-9 ]{0,24}PRIVATE KEY-----)[^-]{16,}+(?:-(?!----)[^-]++)*+"
+#: The password of a URL.
+_LOGIN = r"(?<=:)(?<=://[^\s:/@]{0,64}:)[^\s@/:\"'`]{3,256}(?=@)"
+#: What a secret's name is set to: up to the closing quote, or to the next white space without one.
+_NAMED = r"(?<=[=:>\"'`\s])(?<=[=:>]\s{0,3}[\"'`]?|(?i:bearer|basic)\s)(?<=" + _NAMES + r"[A-Za-z0-9_\-]{0,12}[\"'`]?\s{0,3}(?:=>|:=|==?|:)\s{0,3}(?:(?i:bearer|basic)\s)?[\"'`]?)(?!(?i:bearer|basic)\s)(?![=:>\s])(?:(?<=[\"'`])[^\"'`\n]{4,256}(?=[\"'`])|[^\s\"'`]{4,}[^\s\"'`,;)\]}])"
+#: A run of token characters with a digit that no token character precedes, or of letters alone; neither is a name before "=".
+_RUN = r"(?<![A-Za-z0-9_+/.\-])(?:(?=[A-Za-z_+/.\-]*[0-9])[A-Za-z0-9_+/.\-]{16,}+|[A-Za-z]{24,}+(?![A-Za-z0-9_+/.\-]))(?:={1,2}(?![A-Za-z0-9_+/.=\-\"'`$]))?+(?!=)"
+CANDIDATE = "|".join((_PEM, _LOGIN, _NAMED, _RUN))
 CONTEXT = 40
 TREES, DEPTH, SEED, LEAST = 24, 7, 11, 0.5
 #: Fragments that people write and generators do not.
 DICTIONARY = "example|sample|test|dummy|placeholder|changeme|xxxx|your|user|name|mail|host|local|http|www|com|org|net|file|path|lib|python|site|package|version|config|data|index|page|image|static|get|set|item|value|number|table|page|the|and|for|with"
-FEATURES = ("length", "transitions", "distinct", "digits", "hex", "covered", "path_code", "path_example", "named_secret", "named_other", "assigned", "quoted", "after_at", "prose")
+FEATURES = ("length", "transitions", "distinct", "digits", "hex", "covered", "path_code", "path_example", "named_secret", "named_other", "assigned", "quoted", "after_at", "prose", "login", "symbols", "upper")
 
-_SECRET_WORD = r"(?i)(token|secret|api[_\- ]?key|access[_\- ]?key|passw(or)?d|credential|bearer|auth|private[_\- ]?key)[^\n]{0,12}$"
+_SECRET_WORD = r"(?i)(token|secret|api[_\- ]?key|access[_\- ]?key|passw(or)?d|pwd|passphrase|credential|bearer|auth|private[_\- ]?key)[^\n]{0,12}$"
 _OTHER_WORD = r"(?i)(commit|sha1|sha256|md5|checksum|digest|hash|uuid|etag|revision|build|card|account|order|phone|isbn|version|url|href|src)[^\n]{0,12}$"
 
 
@@ -61,6 +70,9 @@ def features(found: DataFrame) -> DataFrame:
             "assigned": yes(F.col("before").rlike(r"[=:]\s*[\"'`]?$")),
             "quoted": yes(F.col("before").rlike(r"[\"'`]$") & F.col("after").rlike(r"^[\"'`]")),
             "after_at": yes(F.col("before").rlike("[@/]$")),
+            "login": yes(F.col("before").rlike(r"://[^\s:/@]*:$") & F.col("after").startswith("@")),
+            "symbols": share(r"[^A-Za-z0-9_.\s]"),
+            "upper": share("[A-Z]"),
             "prose": yes(F.col("before").rlike(r"\p{L}{2,} $") & F.col("after").rlike(r"^[ .,]")),
         }
     )
@@ -76,10 +88,18 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     digits = lambda k, m: F.substring(F.regexp_replace(F.concat(h(k), h(k + 50)), "[^0-9]", ""), 1, m)
     pick = lambda k, *words: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(words))) + 1).cast("int"))
     words = lambda k: F.concat_ws("_", *(pick(k + i, "get", "user", "name", "item", "value", "index", "table", "render", "config", "page", "handler", "buffer") for i in range(4)))
-    opened = F.concat(pick(1, "token", "api_key", "secret", "password", "auth_token", "client_secret", "ACCESS_KEY"), pick(2, " = ", "=", ": "), pick(3, '"', "'", ""))
+    name = pick(1, "token", "api_key", "secret", "password", "auth_token", "client_secret", "ACCESS_KEY", "AWS_SECRET_ACCESS_KEY", "DB_PASSWORD", "passwd", "S3_SECRET_KEY")
+    opened = F.concat(name, pick(2, " = ", "=", ": "), pick(3, '"', "'", ""))
     prose = F.concat(pick(4, "about", "with", "und", "les", "para", "the", "from"), F.lit(" "))
     noted = F.concat(pick(5, "commit", "sha256", "checksum", "etag", "uuid", "revision", "build"), pick(6, " ", ": ", "="), pick(7, "", '"'))
     url = pick(8, "see http://", "user@", "12@", "https://", "src=/")
+    login = F.concat(pick(43, "postgres", "mysql", "https", "redis", "amqp", "ftp"), F.lit("://"), pick(44, "admin", "root", "app", "svc", ""), F.lit(":"))
+    letters = lambda k: F.regexp_replace(F.concat(b64(k), b64(k + 50)), "[0-9]", "")
+    word = pick(45, "hunter", "dragon", "Winter", "Sup3rS3cret", "monkey", "S3cr3t", "Berlin", "qwerty")
+    chosen = F.concat(word, digits(46, 2), F.substring(b64(47), 1, 3), pick(48, "!", "", "#", "$", "?x", "&7"))
+    strange = F.concat(F.substring(b64(49), 1, 5), pick(50, "!", "#", "%", "&", "*"), F.substring(b64(51), 1, 4))
+    camel = F.concat(*(F.initcap(pick(k, "get", "user", "name", "item", "value", "index", "table", "render", "config", "handler")) for k in range(52, 58)))
+    code = pick(58, "os.environ", "settings.token", "getpass.getpass", "config.get", "self._token", "process.env.TOKEN", "request.headers", "string", "required", "None,", "please", "should", "optional", "user_input", "lookup_value", "<your-token>", "${TOKEN}")
     kinds = [
         (1, F.substring(h(10), 1, 40), opened),
         (1, F.concat(F.lit("ghp_"), F.substring(b64(11), 1, 36)), opened),
@@ -87,21 +107,32 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (1, F.concat(F.substring(b64(13), 1, 40)), opened),
         (1, F.substring(h(14), 1, 32), opened),
         (1, F.concat(F.lit("sk_live_"), F.substring(b64(15), 1, 24)), F.lit("Authorization: Bearer ")),
+        (1, F.substring(letters(60), 1, 32), opened),
+        (1, F.lower(F.substring(letters(61), 1, 32)), opened),
+        (1, chosen, opened),
+        (1, strange, opened),
+        (1, chosen, login),
+        (1, F.concat(F.lit("\n"), b64(62), F.lit("\n"), b64(63), F.lit("\n")), F.concat(F.lit("-----BEGIN "), pick(64, "RSA ", "", "EC ", "OPENSSH "), F.lit("PRIVATE KEY-----"))),
         (0, F.concat(pick(16, "4", "5", "3", "9"), digits(17, 15)), prose),
         (0, F.concat(pick(18, "mail", "www", "host", "static"), digits(19, 1), F.lit("."), pick(20, "example", "sample-site", "localhost", "python"), pick(21, ".com", ".org", ".net/index")), url),
         (0, F.concat_ws("-", F.substring(h(22), 1, 8), F.substring(h(22), 9, 4), F.substring(h(22), 13, 4), F.substring(h(22), 17, 4), F.substring(h(22), 21, 12)), noted),
         (0, F.substring(h(23), 1, 40), noted),
         (0, F.concat(words(24), F.lit("_"), digits(28, 2)), F.concat(pick(29, "call ", "def ", "token: ", "key = "), pick(30, "", '"'))),
         (0, F.concat(pick(31, "EXAMPLE_TOKEN_", "your-api-key-here-", "xxxxxxxxxxxx", "changeme-placeholder-"), digits(32, 4)), opened),
+        (0, code, opened),
+        (0, camel, pick(65, "call ", "def ", "class ", "the ", "und ")),
     ]
     rows = None
     for i, (label, candidate, before) in enumerate(kinds):
         one = spark.range(n // len(kinds)).withColumn("id", F.col("id") * len(kinds) + i)
-        quote = F.regexp_extract(before, "[\"'`]$", 0)
+        closing = F.when(before.endswith("KEY-----"), F.lit("-----END")).when(before.rlike("://[a-z]*:$"), F.lit("@host/db")).otherwise(F.regexp_extract(before, "[\"'`]$", 0))
         path = pick(40, "src/app.py", "deploy/config.yaml", "src3", "web", "notes.txt") if label else pick(41, "src/app.py", "docs/readme.md", "tests/fixture.json", "src3", "web", "notes.txt")
-        one = one.select(candidate.alias("candidate"), F.concat(prose, before).alias("before"), F.concat(quote, pick(42, " and then", " the", "\n", ".", " la")).alias("after"), path.alias("path"), F.lit(float(label)).alias("label"))
+        text = F.concat(prose, before, candidate, closing, pick(42, " and then", " the", "\n", ", ", " la"))
+        one = one.select(F.struct(candidate.alias("planted"), F.lit(float(label)).alias("label"), "id").alias("doc_id"), text.alias("text"), path.alias("path"))
         rows = rows.unionByName(one) if rows else one
-    return rows.coalesce(1)
+    # as the scan itself cuts them; a text without its planted value whole teaches nothing
+    found = candidates(common.save(rows.coalesce(1), "planted"), "path").filter(F.col("candidate") == F.col("doc_id.planted"))
+    return common.save(found.select("candidate", "before", "after", "path", "doc_id.label"), "findings")
 
 
 def fit(findings: DataFrame):
