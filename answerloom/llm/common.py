@@ -45,6 +45,38 @@ def save(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def save_bucketed(df: DataFrame, name: str, buckets: int, by: str, partition_by: str) -> DataFrame:
+    """save, with the rows of a value of `by` in one bucket, so that a join on it does not shuffle this side.
+
+    Every task writes its own rows into their buckets: writing shuffles nothing either. Buckets need a name in the catalog,
+    which a catalog that outlives the session keeps as aw_<name>_<number>.
+    """
+    spark = df.sparkSession
+    path, table = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", f"aw_{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", path).partitionBy(partition_by).bucketBy(buckets, by).saveAsTable(table)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.table(table)
+
+
+#: A key is hot from 1 / HOT_KEYS of all rows on, and from HOT_ROWS rows on, so there are never more than HOT_KEYS of them.
+HOT_KEYS, HOT_ROWS = 10_000, 1000
+
+
+def join_unique(rows: DataFrame, of: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with a saved table `of` that is unique by key; its column n says how many of the rows a key has.
+
+    Rows of hot keys stay where they are and get theirs by a broadcast of at most HOT_KEYS rows, so no task gathers a hot
+    key; the others are joined by a shuffle.
+    """
+    total = of.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = F.broadcast(of.filter(F.col(n) >= least))
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(others.join(of.filter(F.col(n) < least).hint("merge"), key))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -118,8 +150,8 @@ def with_maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def one_per_group(docs: DataFrame, decided: DataFrame, with_key) -> DataFrame:
     """docs with one row of each group, the one with the smallest doc_id; of several rows under that id, one.
 
-    decided: doc_id, aw_key (what tells rows of one id apart), aw_group, aw_first (the group's smallest id). with_key adds
-    aw_key to docs; it is computed for rows whose id may go only.
+    decided: doc_id, aw_key (what tells rows of one id apart), aw_group, aw_first (the group's smallest id), for the rows of
+    groups of two and more. with_key adds aw_key to docs; it is computed for rows whose id may go only.
     """
     decided = save(decided, "decided")
     stays = F.col("doc_id").eqNullSafe(F.col("aw_first"))

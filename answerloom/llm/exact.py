@@ -1,11 +1,12 @@
 """Exact dedup by an exchange of Golomb-coded fingerprints.
 
-1. Each partition hashes its texts and sends, to every owner of a range of the hash space, its distinct fingerprints in
-   sorted order, as Golomb-Rice codes of their gaps (a few bits each instead of 64).
+1. Texts are hashed where they are read. Each partition of the digests sends, to every owner of a range of the hash space,
+   its distinct fingerprints in sorted order, as Golomb-Rice codes of their gaps (a few bits each instead of 64).
 2. An owner decodes what it was sent and answers every sender with a bitmap: which of its fingerprints came more than once.
+   A sender's digests lie in one bucket of a table, so the bitmaps travel to them and no digest is shuffled.
 3. Only rows with a marked fingerprint (suspects) are looked at again: their texts are shuffled and compared byte by byte.
 
-Texts never leave their partition unless their fingerprint is shared.
+Neither a text nor a digest leaves its partition unless its fingerprint is shared.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-#: Fingerprints of an owner, about, and rows that a sender gathers before it sends.
-OWNED, SENT = 500_000, 250_000
+#: Fingerprints of an owner, about, and rows that a sender gathers before it sends. Digests are read in partitions of millions
+#: of rows, so senders and owners both grow with rows / million, and a block holds about OWNED * SENT / rows fingerprints.
+OWNED, SENT = 2_000_000, 1_000_000
+#: Rows of a bucket of digests, about, and the most buckets that Spark allows.
+BUCKET, BUCKETS = 100_000, 100_000
 
 
 def rice_encode(values: np.ndarray) -> tuple[int, bytes]:
@@ -49,19 +53,23 @@ def rice_decode(k: int, n: int, blob: bytes) -> np.ndarray:
 
 
 def _send(n_owners: int, id_type: pa.DataType):
-    """Rows (doc_id, sha, fp) -> the same rows with their sender, owner and place, and one coded block for each owner."""
+    """Rows (doc_id, sha, fp) -> the same rows with their sender and place, and one coded block for each owner.
+
+    A place is a bit of the bitmap that the sender will get: those of its owners one after another, in whole words of 64.
+    """
     width = (1 << 64) // n_owners + 1
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", id_type), ("sha", pa.binary()), ("sender", pa.int64()), ("row", pa.int64()), ("owner", pa.int32()), ("place", pa.int32()), ("k", pa.int32()), ("n", pa.int32()), ("own", pa.binary()), ("block", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", id_type), ("sha", pa.binary()), ("sender", pa.int64()), ("row", pa.int64()), ("owner", pa.int32()), ("place", pa.int64()), ("k", pa.int32()), ("n", pa.int32()), ("own", pa.binary()), ("block", pa.binary())])
 
     def blocks(table: pa.Table, sender: int) -> Iterator[pa.RecordBatch]:
         fp = table.column("fp").to_numpy().view(np.uint64)
         values, inverse, count = np.unique(fp, return_inverse=True, return_counts=True)
         owner = (values // np.uint64(width)).astype(np.int64)
         start = np.searchsorted(owner, np.arange(n_owners + 1))
-        place = np.arange(len(values)) - start[owner]
+        words = -(-np.diff(start) // 64) * 64
+        place = np.arange(len(values)) - start[owner] + (np.cumsum(words) - words)[owner]
         n = len(fp)
         yield from pa.Table.from_arrays(
-            [pa.array(np.zeros(n, np.int32)), table.column("doc_id"), table.column("sha"), pa.array(np.full(n, sender)), pa.array(np.arange(n)), pa.array(owner[inverse].astype(np.int32)), pa.array(place[inverse].astype(np.int32)), *(pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+            [pa.array(np.zeros(n, np.int32)), table.column("doc_id"), table.column("sha"), pa.array(np.full(n, sender)), pa.array(np.arange(n)), pa.nulls(n, pa.int32()), pa.array(place[inverse]), *(pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
             schema=schema,
         ).to_batches(max_chunksize=20_000)
         out = []
@@ -113,6 +121,24 @@ def _collisions(docs: DataFrame, suspects: DataFrame) -> DataFrame:
     return texts.groupBy("text").agg(F.count(F.lit(1)).alias("n")).groupBy(F.unhex(F.sha2("text", 256)).alias("sha")).agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("sha")
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, sha, sender, row, suspect (its fingerprint came more than once)."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema["doc_id"].dataType
+    digests = common.save(docs.select("doc_id", normalised().alias("t")).select("doc_id", F.unhex(F.sha2("t", 256)).alias("sha"), F.xxhash64("t").alias("fp")), "digests")
+    n = digests.count()
+    ddl = f"kind int, doc_id {kind.simpleString()}, sha binary, sender long, row long, owner int, place long, k int, n int, own binary, block binary"
+    sent = digests.mapInArrow(_send(max(2, -(-n // OWNED)), to_arrow_type(kind)), ddl)
+    sent = common.save_bucketed(sent, "exchange", min(BUCKETS, max(8, -(-n // BUCKET))), "sender", "kind")
+    answers = sent.filter("kind = 1").select("sender", "owner", "k", "n", "own", "block").groupBy("owner").applyInArrow(_answer, "sender long, owner int, bitmap array<long>")
+    # a sender's bitmap has at most SENT bits and a word more for each owner
+    bitmaps = answers.groupBy("sender").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("owner", "bitmap"))), lambda x: x["bitmap"])).alias("bitmap"))
+    bitmaps = common.save(bitmaps, "bitmaps")
+    rows = sent.filter("kind = 0").select("doc_id", "sha", "sender", "row", "place").join(bitmaps.hint("merge"), "sender")
+    return rows.select("doc_id", "sha", "sender", "row", F.expr("getbit(bitmap[cast(place div 64 as int)], cast(place % 64 as int)) = 1").alias("suspect"))
+
+
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -121,36 +147,26 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     text exactly one). An empty table gives no rows. A digest under which different texts lie stops the job instead of
     merging them.
     """
-    n_owners = max(2, -(-docs.count() // OWNED))
-    kind = docs.schema["doc_id"].dataType
-    read = docs.select("doc_id", normalised().alias("t")).select("doc_id", F.unhex(F.sha2("t", 256)).alias("sha"), F.xxhash64("t").alias("fp"))
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    ddl = f"kind int, doc_id {kind.simpleString()}, sha binary, sender long, row long, owner int, place int, k int, n int, own binary, block binary"
-    sent = common.save(read.mapInArrow(_send(n_owners, to_arrow_type(kind)), ddl), "exchange", "kind")
-    rows = sent.filter("kind = 0").select("doc_id", "sha", "sender", "row", "owner", "place")
-    answers = sent.filter("kind = 1").select("sender", "owner", "k", "n", "own", "block").groupBy("owner").applyInArrow(_answer, "sender long, owner int, bitmap array<long>")
-    marked = common.save(
-        rows.join(answers.hint("merge"), ["sender", "owner"]).select("doc_id", "sha", "sender", "row", F.expr("getbit(bitmap[cast(place div 64 as int)], cast(place % 64 as int)) = 1").alias("suspect")), "marked"
-    )
-    suspects = marked.filter("suspect")
+    rows = marked(docs)
+    suspects = common.save(rows.filter("suspect").drop("suspect"), "suspects")
     if not (bad := _collisions(docs, suspects)).isEmpty():
         raise ValueError(f"different texts under the same SHA-256: {[r.sha.hex() for r in bad.limit(3).collect()]}")
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "sender", "row")
-    # written first, so that the join stands alone and a digest with very many rows is split
-    groups = common.save(suspects.groupBy("sha").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "groups")
-    return marked.join(groups.hint("merge"), "sha", "left").select(
-        "doc_id",
-        F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
-        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("size").isNull() | ((F.col("first.sender") == F.col("sender")) & (F.col("first.row") == F.col("row")))).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
+    groups = common.save(suspects.groupBy("sha").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")), "groups")
+    grouped = common.join_unique(suspects, groups, "sha", "size").select(
+        "doc_id", F.col("first.doc_id").alias("keep_id"), F.col("size").alias("group_size"), ((F.col("first.sender") == F.col("sender")) & (F.col("first.row") == F.col("row"))).alias("kept"), "sha"
     )
+    alone = rows.filter("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    return alone.unionByName(grouped).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_duplicates does not keep."""
-    decided = exact_duplicates(docs).select("doc_id", F.col("text_sha256").alias("aw_key"), F.col("text_sha256").alias("aw_group"), F.col("keep_id").alias("aw_first"))
+    """docs without the rows that exact_duplicates does not keep.
+
+    Nulls and empty texts are equal texts like any other; of repeated rows and of ties between rows under the smallest id one
+    stays; an empty table stays empty; other columns, whatever their names, are left as they are.
+    """
+    decided = exact_duplicates(docs).filter("group_size > 1").select("doc_id", F.col("text_sha256").alias("aw_key"), F.col("text_sha256").alias("aw_group"), F.col("keep_id").alias("aw_first"))
     return common.one_per_group(docs, decided, lambda d: d.withColumn("aw_key", F.sha2(normalised(), 256)))
 
 
