@@ -2,7 +2,8 @@
 
 Candidates come from the pigeonhole principle: of the bands that the 64 bits are cut into, two fingerprints with at most
 `radius` differing bits agree on at least m of m + radius. Each choice of m bands is a bucket key, so every pair that has to
-be found shares a bucket. In a bucket, pairs are discarded by pivot distance tables: the Hamming distances of every
+be found shares a bucket. Fingerprints of large buckets get longer keys, of more bands, and are dealt anew by those. (Distances
+to pivots alone pick no candidates: those of 64 random bits crowd around 32.) In a bucket, pairs are discarded by pivot distance tables: the Hamming distances of every
 fingerprint to many reference fingerprints are computed once, and a pair whose distances to any reference differ by more
 than `radius` cannot be linked (triangle inequality). Survivors are verified on all bits. Only a spanning forest of the
 links of a bucket leaves it, never all pairs, and equal fingerprints enter once.
@@ -22,7 +23,9 @@ from . import common
 from .graph import components
 
 SHINGLE, RADIUS, PIVOTS = 4, 4, 16
-#: A bucket of more fingerprints is cut into parts of about this many, and each pair of parts is worked on alone.
+#: Bands in a bucket's key, and in the key of the fingerprints of buckets that hold more than CROWDED.
+BANDS, MORE_BANDS, CROWDED = 2, 4, 1024
+#: A bucket of longer keys with more fingerprints is cut into parts of about this many, and each pair of parts is worked on alone.
 PART = 2048
 #: Fingerprints that one task holds at once, and links that it holds before it joins them.
 SLAB, HELD = 65_536, 1_000_000
@@ -70,14 +73,6 @@ def bands(n_bands: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def bands_in_key(n: int, radius: int = RADIUS) -> int:
-    """How many bands a bucket key has, so that a bucket holds few unrelated ones of n fingerprints."""
-    m = 1
-    while m < radius and n / 2 ** (64 * m / (m + radius)) > 256:
-        m += 1
-    return m
-
-
 def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(64).integers(0, 1 << 64, n, dtype=np.uint64)
 
@@ -169,25 +164,31 @@ def _links(radius: int):
     return links
 
 
+def keyed(fps: DataFrame, m: int, radius: int) -> DataFrame:
+    """key, fp: a row for each choice of m of m + radius bands."""
+    keys = [
+        F.xxhash64(F.lit(m), F.lit(i), *(F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1)) for shift, width in choice))
+        for i, choice in enumerate(itertools.combinations(bands(m + radius), m))
+    ]
+    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+
+
 def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """For distinct fingerprints (column fp): links (a, b) whose components are those of all pairs within radius.
 
-    Every bucket's work is bounded: buckets of over PART fingerprints are cut into parts by a hash, and each pair of parts
-    is one group of at most about 2 * PART rows.
+    Every bucket's work is bounded: fingerprints of buckets over CROWDED are dealt anew by longer keys, which find all their
+    pairs on their own, and what is over PART even then is cut into parts by a hash, a pair of parts to a group.
     """
-    m = bands_in_key(fps.count(), radius)
-    of = bands(m + radius)
-    keys = [
-        F.xxhash64(F.lit(i), *(F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1)) for shift, width in choice))
-        for i, choice in enumerate(itertools.combinations(of, m))
-    ]
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = keyed(fps, BANDS, radius)
+    sizes = common.save(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    shared = common.save(common.join_unique(rows, sizes, "key", "n"), "shared")
+    finer = keyed(common.save(shared.filter(F.col("n") > CROWDED).select("fp").distinct(), "crowded"), MORE_BANDS, radius)
+    finer_sizes = common.save(finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "finer")
+    rows = shared.filter(F.col("n") <= CROWDED).unionByName(common.join_unique(finer, finer_sizes, "key", "n"))
     parts = F.ceil(F.col("n") / PART)
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), parts)
     pairs = (
-        rows.join(sizes, "key")
-        .select("key", "fp", mine.cast("long").alias("mine"), parts.cast("long").alias("parts"))
+        rows.select("key", "fp", mine.cast("long").alias("mine"), parts.cast("long").alias("parts"))
         .select("key", "fp", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
         .select(
             "key",
@@ -203,19 +204,22 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, group_fingerprint (the component's least).
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, group_fingerprint (the component's least), group_size (its rows).
 
     component_id is the smallest doc_id that is reached over links of at most radius differing bits, itself included. Null
     and empty texts have the fingerprint zero and are linked like any other; a null id counts in no minimum (a component of
     null ids alone has a null component_id); repeated rows give a row each. An empty table gives no rows.
     """
     rows = common.save(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "fp"), "fingerprints")
-    classes = common.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(near_links(classes.select("fp"), radius))
-    of = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = of.join(least, "root").select("fp", "component_id", "root")
-    return rows.join(ids, "fp").select("doc_id", hexed("fp").alias("fingerprint"), "component_id", hexed("root").alias("group_fingerprint"))
+    classes = common.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
+    roots = common.save(components(near_links(classes.select("fp"), radius)).select(F.col("node").alias("fp"), "root"), "roots")
+    of = classes.join(roots.hint("merge"), "fp", "left")
+    alone = of.filter("root is null").select("fp", "n", F.col("first").alias("component_id"), F.col("fp").alias("group"), F.col("n").alias("group_size"))
+    linked = common.save(of.filter("root is not null"), "linked")
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("members"))
+    linked = common.join_unique(linked, common.save(least, "least"), "root", "members").select("fp", "n", "component_id", F.col("root").alias("group"), "group_size")
+    ids = common.save(alone.unionByName(linked), "components")
+    return common.join_unique(rows, ids, "fp", "n").select("doc_id", hexed("fp").alias("fingerprint"), "component_id", hexed("group").alias("group_fingerprint"), "group_size")
 
 
 def hexed(col: str):
@@ -223,6 +227,9 @@ def hexed(col: str):
 
 
 def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component, the one with the smallest doc_id."""
-    decided = near_duplicates(docs, radius).select("doc_id", F.col("fingerprint").alias("aw_key"), F.col("group_fingerprint").alias("aw_group"), F.col("component_id").alias("aw_first"))
+    """docs with one row of each component, the one with the smallest doc_id (null ids last, one of several rows under it).
+
+    All null and empty texts are one group; an empty table stays empty; other columns, whatever their names, stay as they are.
+    """
+    decided = near_duplicates(docs, radius).filter("group_size > 1").select("doc_id", F.col("fingerprint").alias("aw_key"), F.col("group_fingerprint").alias("aw_group"), F.col("component_id").alias("aw_first"))
     return common.one_per_group(docs, decided, lambda d: with_fingerprint(d, "aw_fp").withColumn("aw_key", hexed("aw_fp")).drop("aw_fp"))
