@@ -69,9 +69,7 @@ def schedule(quota: DataFrame, block: int = BLOCK) -> DataFrame:
     total = quota.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     k = max(1, int(total - 1).bit_length())
     runs = quota.filter("slots > 0").select("*", F.explode(F.expr(f"sequence(0L, (slots - 1) div {RUN})")).alias("run"))
-    if total > RUN:
-        runs = runs.repartition("src", "run")
-    slots = runs.select("src", "first", "slots", "blocks", "rounds", "rest", F.explode(F.expr(f"sequence(first + run * {RUN}, least(first + (run + 1) * {RUN}, first + slots) - 1)")).alias("v"))
+    slots = runs.repartition("src", "run").select("src", "first", "slots", "blocks", "rounds", "rest", F.explode(F.expr(f"sequence(first + run * {RUN}, least(first + (run + 1) * {RUN}, first + slots) - 1)")).alias("v"))
     upto = "({0} - 1 - (v & (shiftleft(1L, p) - 1)) + shiftleft(1L, p + 1)) div shiftleft(1L, p + 1)"
     rank = f"aggregate(sequence(0, {k - 1}), 0L, (n, p) -> n + if(getbit(v, p) = 1, {upto.format('(first + slots)')} - {upto.format('first')}, 0L))"
     slot = f"aggregate(sequence(0, {k - 1}), 0L, (n, p) -> n + shiftleft(cast(getbit(v, p) as long), {k - 1} - p))"
@@ -113,7 +111,9 @@ def scheduled(sized: DataFrame, per: DataFrame, block: int = BLOCK) -> DataFrame
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, ratio: float = RATIO, cap: float = CAP, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target (its source's), taken (words, repeats counted).
+    """One row per row of docs: doc_id, size, source_size, target (its source's), taken (words, repeats counted), first_slot.
+
+    first_slot is the time of the schedule at which the mix first takes a word of the row, null where it takes none.
 
     A null source is a source of its own, the last; null or empty texts have no words and none is taken; repeated rows share
     no words, each counts alone. Every source's taken words are its target rounded to a whole word, and no document is taken
@@ -121,9 +121,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, ratio: float = RATIO, cap: float = CAP
     """
     sized = sizes(docs)
     per = common.save(targets(sized, weights, ratio, cap), "targets")
-    taken = scheduled(sized, per, block).groupBy("row").agg(F.sum("words").alias("taken"))
+    taken = scheduled(sized, per, block).groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     out = sized.join(taken.hint("merge"), "row", "left")
-    return out.join(per, out["source"].eqNullSafe(per["source"])).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.join(per, out["source"].eqNullSafe(per["source"])).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def _pieces(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -194,8 +194,17 @@ l AS (SELECT level AS water FROM o WHERE ratio > level ORDER BY ratio, src LIMIT
 t AS (SELECT o.source, source_size, CASE WHEN water IS NULL OR ratio <= water THEN most ELSE water * weight END AS target FROM o LEFT JOIN l ON true),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS rounds FROM t),
 s AS (SELECT *, CAST(round(target) AS BIGINT) - rounds * source_size AS rest FROM q),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM d)
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM d),
+b AS (SELECT *, CAST(ceil(source_size / 1024) AS BIGINT) AS blocks FROM s),
+n AS (SELECT *, CAST(rounds * blocks + ceil(rest / 1024) AS BIGINT) AS slots, row_number() OVER (ORDER BY source NULLS LAST) AS nr FROM b),
+f AS (SELECT *, sum(slots) OVER (ORDER BY nr) - slots AS first, greatest(1, ceil(log2(sum(slots) OVER ()))) AS k FROM n),
+v AS (SELECT source, blocks, rounds, rest, CAST(k AS INT) AS k, unnest(range(CAST(first AS BIGINT), CAST(first + slots AS BIGINT))) AS v FROM f),
+p2 AS (SELECT *, CAST(list_sum(list_transform(range(k), lambda p: ((v >> p) & 1) << (k - 1 - p))) AS BIGINT) AS slot FROM v),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM p2),
+a AS (SELECT source, slot, rank % blocks AS block, CASE WHEN rank // blocks < rounds THEN 1024 ELSE least(1024, rest - rank % blocks * 1024) END AS take FROM r),
+e AS (SELECT doc_id, source, upto - size AS lo, upto AS hi, unnest(range(CAST((upto - size) // 1024 AS BIGINT), CAST((upto - 1) // 1024 + 1 AS BIGINT))) AS block FROM c WHERE size > 0),
+g AS (SELECT e.doc_id, e.source, e.hi, min(slot) AS first_slot FROM e JOIN a ON e.source IS NOT DISTINCT FROM a.source AND e.block = a.block AND greatest(e.lo - e.block * 1024, 0) < take GROUP BY ALL)
 SELECT c.doc_id, c.size, s.source_size, CAST(s.target AS DOUBLE) AS target,
-  CAST(s.rounds * c.size + greatest(0, least(c.upto, s.rest) - (c.upto - c.size)) AS BIGINT) AS taken
-FROM c JOIN s ON c.source IS NOT DISTINCT FROM s.source
+  CAST(s.rounds * c.size + greatest(0, least(c.upto, s.rest) - (c.upto - c.size)) AS BIGINT) AS taken, g.first_slot
+FROM c JOIN s ON c.source IS NOT DISTINCT FROM s.source LEFT JOIN g ON c.size > 0 AND g.doc_id IS NOT DISTINCT FROM c.doc_id AND g.source IS NOT DISTINCT FROM c.source AND g.hi = c.upto
 """
