@@ -2,7 +2,7 @@
 
 For each language a suffix automaton holds all substrings of a bounded sample of labelled text. A text is parsed from left
 to right into the longest phrases that the automaton knows; the language whose sample explains it in the fewest phrases,
-normalised by the sample's size (phrases * log2(sample length) / text length), wins.
+normalised by the sample's size (phrases * log2(sample length) / text length), wins. The parse is that of the whole text.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from . import common
 
 #: The bounds of the labelled sample: characters of a language, rows of a language that are drawn among.
 SAMPLE_CHARS, SAMPLE_ROWS = 40_000, 400
-#: A text is parsed in pieces of so many symbols side by side; a phrase ends with its piece.
-PIECE = 256
-#: Characters that are worked on at once; a longer text is worked on in runs of this length.
+#: A text is parsed in pieces of so many symbols side by side, so many times over until they fit together.
+PIECE, ROUNDS = 256, 6
+#: Characters that are worked on at once; a longer text is alone.
 BATCH_CHARS = 1_000_000
 
 _letters: list[np.ndarray] = []
@@ -93,45 +93,75 @@ class Parser:
             self.tables.append(table.ravel())
             self.bits.append(np.log2(max(2, len(folded[n]))))
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each text its symbols, and its phrases in each language (a row a text)."""
+    def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all texts, one after another with one 0 for each run of them, and how many each text has."""
+        if len(texts) == 1:
+            # made in runs, so that a long text needs little more memory than its symbols
+            t = texts[0]
+            s = separated(np.concatenate([self.symbol[points(t[i : i + BATCH_CHARS])] for i in range(0, max(1, len(t)), BATCH_CHARS)]))
+            return s, np.array([len(s)], np.int64)
         n = np.array([len(t) for t in texts], np.int64)
         s = self.symbol[points("".join(texts))]
-        owner = np.repeat(np.arange(len(texts)), n)
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), n)
         keep = np.ones(len(s), bool)
         keep[1:] = (s[1:] != 0) | (s[:-1] != 0) | (owner[1:] != owner[:-1])
-        s, owner = s[keep], owner[keep]
-        size = np.bincount(owner, minlength=len(texts))
+        return s[keep], np.bincount(owner[keep], minlength=len(texts))
+
+    def walk(self, table: np.ndarray, s: np.ndarray, at: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces side by side, each from its own state: phrases that end within it, and the state at its end."""
+        order = np.argsort(-length, kind="stable")
+        at, state, count = at[order], state[order], np.zeros(len(at), np.int32)
+        active = np.searchsorted(-length[order], -np.arange(PIECE), side="left")  # pieces longer than each step
+        for step in range(PIECE):
+            m = active[step]
+            if not m:
+                break
+            v = table[state[:m] * self.width + s[at[:m] + step]]
+            count[:m] += v & 1
+            state[:m] = v >> 1
+        ends, counts = np.empty_like(state), np.empty_like(count)
+        ends[order], counts[order] = state, count
+        return counts, ends
+
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text its symbols, and the phrases of its parse in each language (a row a text).
+
+        Pieces of a text are parsed side by side, first as if each began a phrase. A piece whose predecessor ends in another
+        state than it began with is parsed again from there, until every piece begins where the one before it ended. Parses
+        fall into step within a few symbols, so two or three rounds do; what is left then is parsed in order, piece by piece.
+        """
+        s, size = self.symbols(texts)
         begin = np.cumsum(size) - size
         pieces = -(-size // PIECE)
         of = np.repeat(np.arange(len(texts)), pieces)
         at = begin[of] + PIECE * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
         length = np.minimum(PIECE, begin[of] + size[of] - at)
-        order = np.argsort(-length, kind="stable")
-        of, at, length = of[order], at[order], length[order]
-        active = np.searchsorted(-length, -np.arange(PIECE), side="left")  # pieces longer than each step
+        later = np.flatnonzero(at != begin[of])  # pieces with one before them
         out = np.zeros((len(texts), len(self.names)))
         for k, table in enumerate(self.tables):
-            state = np.zeros(len(of), np.int32)
-            count = np.ones(len(of), np.int32)  # the phrase that a piece ends with
-            for step in range(PIECE):
-                m = active[step]
-                if not m:
+            start = np.zeros(len(of), np.int32)
+            count, end = self.walk(table, s, at, length, start)
+            for _ in range(ROUNDS):
+                todo = later[start[later] != end[later - 1]]
+                if not len(todo):
                     break
-                v = table[state[:m] * self.width + s[at[:m] + step]]
-                count[:m] += v & 1
-                state[:m] = v >> 1
-            out[:, k] = np.bincount(of, count, len(texts))
+                start[todo] = end[todo - 1]
+                count[todo], end[todo] = self.walk(table, s, at[todo], length[todo], start[todo])
+            else:
+                plain, symbols, width = memoryview(table), memoryview(s), self.width
+                for i in later[start[later] != end[later - 1]].tolist():
+                    while i < len(of) and at[i] != begin[of[i]] and start[i] != end[i - 1]:
+                        state, n = int(end[i - 1]), 0
+                        start[i] = state
+                        for c in symbols[int(at[i]) : int(at[i] + length[i])]:
+                            v = plain[state * width + c]
+                            n += v & 1
+                            state = v >> 1
+                        count[i], end[i] = n, state
+                        i += 1
+            out[:, k] = np.bincount(of, count, len(texts)) + 1  # and the phrase that a text ends with
         return size, out
 
-    def costs(self, text: str) -> tuple[int, np.ndarray]:
-        """Symbols and phrases of one text, in runs."""
-        total, found = 0, np.zeros(len(self.names))
-        for i in range(0, len(text), BATCH_CHARS):
-            size, out = self.phrases([text[i : i + BATCH_CHARS]])
-            total, found = total + int(size[0]), found + out[0]
-        return total, found
-
 
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -145,16 +175,17 @@ def separated(s: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, folds: int = 4, held_out: int = 2) -> dict[str, str]:
-    """A sample of labelled text per language, outside the held-out fold: whole texts in the order of their ids' hashes.
+    """A sample of labelled text per language, outside the held-out fold: whole texts in the order of a hash of id and text.
 
-    Bounded by SAMPLE_CHARS and SAMPLE_ROWS for each language; longer texts are not drawn. A language whose texts have no
-    letter is not learnt.
+    Bounded by SAMPLE_CHARS and SAMPLE_ROWS for each language; texts over half of SAMPLE_CHARS are not drawn, repeated rows
+    count once. A language whose texts have no letter is not learnt.
     """
     ours = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & (common.crc_of_id() % folds != held_out) & F.length("text").between(1, SAMPLE_CHARS // 2) & F.col("text").rlike(r"\p{L}"))
-    # ids first, so that sorting moves no text
-    drawn = common.first_of_each(ours.select("doc_id", "lang", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(3)).alias("h")), "lang", SAMPLE_ROWS)
-    texts = ours.join(F.broadcast(drawn.select("doc_id", "h").dropDuplicates(["doc_id"])), "doc_id").select("lang", "h", "doc_id", "text")
-    running = Window.partitionBy("lang").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    # hashes first, so that sorting moves no text; of repeated rows one is drawn among
+    ours = ours.withColumn("h", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text", F.lit(3)))
+    drawn = common.first_of_each(ours.select("lang", "h").distinct(), "lang", SAMPLE_ROWS, tie="h")
+    texts = ours.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    running = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
     rows = texts.withColumn("upto", F.sum(F.length("text")).over(running)).filter(F.col("upto") <= SAMPLE_CHARS).orderBy("lang", "upto").collect()
     out: dict[str, list[str]] = {}
     for r in rows:
@@ -178,11 +209,7 @@ def _predict(samples):
                 while hi < len(texts) and size + len(texts[hi]) <= BATCH_CHARS:
                     size += len(texts[hi])
                     hi += 1
-                if hi - lo == 1 and size > BATCH_CHARS:
-                    n, found = parser.costs(texts[lo])
-                    sizes, found = np.array([n]), found[None]
-                else:
-                    sizes, found = parser.phrases(texts[lo:hi])
+                sizes, found = parser.phrases(texts[lo:hi])
                 cost = found * np.array(parser.bits) / np.maximum(sizes, 1)[:, None]
                 best = cost.argmin(1)  # ties: the first by name
                 first = cost[np.arange(len(best)), best]
@@ -202,7 +229,7 @@ def _predict(samples):
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score.
 
-    score is the runner-up's share of the two least costs: 0.5 for a tie, near 1 for a clear case, 0 for `und`. A null text
+    score is the runner-up's share of the two least costs: 0.5 for a tie (which the first by name wins), near 1 for a clear case, 0 for `und`. A null text
     or one without a letter is `und`, as are all where no language could be learnt; rows with a null lang are predicted but
     not learnt from; null ids and repeated rows give a row each. Texts are parsed whole, and no text is shuffled.
     """
