@@ -11,14 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common
 
 ORDERS = (3, 4, 5, 6)
 BITS = 22
-#: The bounds of the labelled sample that is learnt from: rows of either class, and characters of a row.
-ROWS_OF_CLASS, LONGEST = 1000, 8_000
+#: The bounds of the labelled sample that is learnt from: texts of either class, and their characters.
+ROWS_OF_CLASS, CHARS_OF_CLASS = 1500, 6_000_000
 #: An n-gram counts as a feature from so many texts of a class on; so many of the largest ratios are kept.
 LEAST_TEXTS, FEATURES = 3, 4096
 SMOOTHING, PENALTY = 1.0, 1e-3
@@ -73,26 +73,38 @@ def distinct(a: np.ndarray) -> np.ndarray:
     return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
 
 
-def present(texts: list[str], useful: np.ndarray | None = None) -> np.ndarray:
-    """Distinct pairs (text << BITS | place) of the n-grams of texts; useful: only places that it marks."""
+def present(s: np.ndarray, owner: np.ndarray, useful: np.ndarray | None = None) -> np.ndarray:
+    """Distinct pairs (text << BITS | place) of the n-grams of symbols; useful: only places that it marks."""
     found = []
-    for place, owner in buckets(*flat(texts)):
-        keep = owner >= 0
+    for place, of in buckets(s, owner):
+        keep = of >= 0
         if useful is not None:
             keep &= useful[place]
-        found.append(distinct((owner[keep].astype(np.int64) << BITS) | place[keep]))
+        found.append(distinct((of[keep].astype(np.int64) << BITS) | place[keep]))
     return distinct(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def in_batches(texts: list[str]) -> Iterator[tuple[int, int]]:
+def long_present(text: str, useful: np.ndarray | None = None) -> np.ndarray:
+    """present for one text of any length: its symbols as a whole, then blocks of them that overlap by an n-gram."""
+    # the 0 before a run is none of the text's, unless the run starts with one itself
+    runs = [flat([text[i : i + BATCH_CHARS]])[0].astype(np.uint16)[int(i > 0 and symbols()[ord(text[i])] > 0) :] for i in range(0, len(text), BATCH_CHARS)]
+    s = np.concatenate(runs)
+    s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
+    found = [np.zeros(0, np.int64)]
+    for i in range(0, len(s), BATCH_CHARS):
+        block = s[i : i + BATCH_CHARS + max(ORDERS) - 1].astype(np.uint64)
+        found.append(present(block, np.zeros(len(block), np.int32), useful))
+    return distinct(np.concatenate(found))
+
+
+def features(texts: list[str], useful: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For ranges of texts: from, to, pairs of present."""
     lo = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > BATCH_CHARS:
-            yield lo, i
+    for i in range(len(texts) + 1):
+        if i > lo and (i == len(texts) or size + len(texts[i]) > BATCH_CHARS):
+            yield lo, i, long_present(texts[lo], useful) if size > BATCH_CHARS else present(*flat(texts[lo:i]), useful)
             lo, size = i, 0
-        size += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
+        size += len(texts[i]) if i < len(texts) else 0
 
 
 def fit(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -100,15 +112,12 @@ def fit(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, fl
     toxic = np.asarray(toxic, bool)
     if not len(texts) or toxic.all() or not toxic.any():
         return np.zeros(0, np.int64), np.zeros(0), 0.0
-    held = []  # for ranges of texts: the first, the places of all, how many each text has
-    for lo, hi in in_batches(texts):
-        p = present(texts[lo:hi])
-        held.append((lo, (p & ((1 << BITS) - 1)).astype(np.int32), np.bincount(p >> BITS, minlength=hi - lo)))
+    low = (1 << BITS) - 1
     counts = [np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)]
-    for lo, place, n in held:
-        of = np.repeat(toxic[lo : lo + len(n)], n)
-        counts[0] += np.bincount(place[of], minlength=1 << BITS).astype(np.int32)
-        counts[1] += np.bincount(place[~of], minlength=1 << BITS).astype(np.int32)
+    for lo, _, p in features(texts):
+        of = toxic[lo + (p >> BITS)]
+        for c, which in zip(counts, (of, ~of), strict=True):
+            c += np.bincount(p[which] & low, minlength=1 << BITS).astype(np.int32)
     a, b = ((n + SMOOTHING) / (m + 2 * SMOOTHING) for n, m in zip(counts, (toxic.sum(), (~toxic).sum()), strict=True))
     ratio = np.log(a / b)
     often = np.maximum(*counts) >= LEAST_TEXTS
@@ -117,10 +126,9 @@ def fit(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, fl
     column = np.full(1 << BITS, -1, np.int32)
     column[places] = np.arange(len(places))
     rows, cols = [], []
-    for lo, place, n in held:
-        c = column[place]
-        rows.append(np.repeat(np.arange(lo, lo + len(n)), n)[c >= 0])
-        cols.append(c[c >= 0])
+    for lo, _, p in features(texts, column >= 0):  # the texts once more: holding all their n-grams would take far more memory
+        rows.append(lo + (p >> BITS))
+        cols.append(column[p & low])
     rows, cols, r = np.concatenate(rows), np.concatenate(cols), ratio[places]
     # classes count alike; values are scaled so that a text's features have about unit length
     scale = 1 / max(1.0, np.sqrt(np.bincount(rows, r[cols] ** 2, len(texts)).mean()))
@@ -144,17 +152,20 @@ def fit(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, fl
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fit on at most ROWS_OF_CLASS labelled texts of either class (the smallest hashes of their ids) outside the held-out fold.
+    """Fit on labelled texts of either class in the order of their ids' hashes, outside the held-out fold.
 
-    Rows with a null id, text or label and texts over LONGEST characters are not learnt from.
+    At most ROWS_OF_CLASS texts and CHARS_OF_CLASS characters of a class are learnt from, whole texts of any length. Rows with
+    a null id, text or label are not; an id with labels of both kinds counts as toxic, and of several texts under one id the
+    least is taken.
     """
-    ours = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= LONGEST))
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(common.crc_of_id() % folds != held_out).withColumn("h", F.xxhash64("doc_id", F.lit(4)))
-    # the sample is drawn among ids first (a few more than needed), so that only its texts are read into memory
+    # the sample is drawn among ids first (a few more than needed), so that only its texts are read into memory, in one scan
     sample = common.first_of_each(known, "toxic", 2 * ROWS_OF_CLASS)
-    texts = ours.join(F.broadcast(sample), "doc_id").select("h", "doc_id", "toxic", "text")
-    rows = [r for c in (0, 1) for r in texts.filter(f"toxic = {c}").orderBy("h", "doc_id", "text").limit(ROWS_OF_CLASS).collect()]
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").groupBy("toxic", "h", "doc_id").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("toxic").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    texts = texts.withColumns({"n": F.count(F.lit(1)).over(order), "upto": F.sum(F.length("text")).over(order)})
+    rows = texts.filter((F.col("n") <= ROWS_OF_CLASS) & (F.col("upto") <= CHARS_OF_CLASS)).orderBy("toxic", "n").select("toxic", "text").collect()
     return fit([r.text for r in rows], np.array([r.toxic for r in rows], bool))
 
 
@@ -167,13 +178,7 @@ def _scores(model):
         for batch in batches:
             texts = [t or "" for t in batch.tolist()]
             z = np.full(len(texts), bias)
-            for lo, hi in in_batches(texts):
-                if hi - lo == 1 and len(texts[lo]) > BATCH_CHARS:
-                    # a long text in runs that overlap by an n-gram
-                    runs = [texts[lo][i : i + BATCH_CHARS + 2 * max(ORDERS)] for i in range(0, len(texts[lo]), BATCH_CHARS)]
-                    p = distinct(np.concatenate([present([run], useful) for run in runs]))
-                else:
-                    p = present(texts[lo:hi], useful)
+            for lo, hi, p in features(texts, useful):
                 z[lo:hi] += np.bincount(p >> BITS, table[p & ((1 << BITS) - 1)], hi - lo)
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
