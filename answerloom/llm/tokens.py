@@ -1,4 +1,4 @@
-"""Token counts and ids of whole texts, in Arrow batches that are balanced by characters.
+"""Token counts and ids of whole texts, in Arrow batches that are balanced by bytes.
 
 A text is cut at safe boundaries: single spaces between two characters that are not white space. There the byte-level
 pre-tokenizer ends one unit and starts the next (the space goes with what follows), so the parts can be encoded alone and
@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common
 
-#: Characters of text that are worked on at once.
-BATCH_CHARS = 1_500_000
+#: Bytes of text that are worked on at once.
+BATCH_BYTES = 1_500_000
 
 #: Characters on which both libraries surely agree.
 PLAIN = np.zeros(0x110000, bool)
@@ -159,9 +159,13 @@ def split_safely(text: str) -> list[str]:
     return [p for p in parts if p]
 
 
-def long_runs(text: str, chars: int | None = None) -> Iterator[str]:
-    """A very long text in runs of whole parts; all but the first start with their space. One without safe boundaries stays whole."""
-    lo, chars = 0, chars or BATCH_CHARS
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
+def long_runs(text: str, size: int | None = None) -> Iterator[str]:
+    """A very long text in runs of whole parts of about as many bytes; all but the first start with their space. One without safe boundaries stays whole."""
+    lo, chars = 0, max(1, (size or BATCH_BYTES) * len(text) // max(1, n_bytes(text)))
     safe = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
     while len(text) - lo > chars and (m := safe.search(text, lo + chars)):
         yield text[lo : m.start()]
@@ -175,24 +179,23 @@ def coder(path: str) -> Coder:
     return _loaded[path]
 
 
-def balanced(texts: list, chars: int | None = None) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about as many characters each; a longer text is alone."""
-    lo, size, chars = 0, 0, chars or BATCH_CHARS
-    for i, t in enumerate(texts):
-        n = len(t)
-        if size and size + n > chars:
+def balanced(sizes: list[int], most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about as many bytes each; a longer text is alone."""
+    lo, size, most = 0, 0, most or BATCH_BYTES
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
             yield lo, i
             lo, size = i, 0
         size += n
-    if lo < len(texts):
-        yield lo, len(texts)
+    if lo < len(sizes):
+        yield lo, len(sizes)
 
 
 def encoded(path: str, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For ranges of texts: from, to, all their ids, how many each has."""
-    c = coder(path)
-    for lo, hi in balanced(texts):
-        if hi - lo == 1 and len(texts[lo]) > BATCH_CHARS:
+    c, sizes = coder(path), [n_bytes(t) for t in texts]
+    for lo, hi in balanced(sizes):
+        if hi - lo == 1 and sizes[lo] > BATCH_BYTES:
             ids = c.long(texts[lo])
             yield lo, hi, ids, np.array([len(ids)])
         else:
