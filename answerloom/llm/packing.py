@@ -82,25 +82,25 @@ def pack(pieces: DataFrame, room: int = ROOM) -> DataFrame:
     histogram = {r.length: r.n for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most room - 1 rows
     steps = spark.createDataFrame(plan(histogram, room), "length long, lo long, hi long, each long, sequence long, at long")
     before = parts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = short.withColumn("part", F.shiftright("row", TASK_BITS)).withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("row")) - 1)
-    ranked = ranked.join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before")).drop("part", "before")
+    # only rows and lengths are ranked; whatever else a piece has is shuffled once, at the end
+    ranked = short.select("row", "length", F.shiftright("row", TASK_BITS).alias("part")).withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("row")) - 1)
+    ranked = ranked.join(before.hint("merge"), ["length", "part"]).select("row", "length", (F.col("rank") + F.col("before")).alias("rank"))
     steps = F.broadcast(steps)  # a few rows for each of at most room lengths
     placed = ranked.join(steps, (ranked["length"] == steps["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(
-        *(ranked[c] for c in pieces.columns),
+        "row",
         F.expr("sequence + (rank - lo) div each").alias("sequence_id"),
         (F.col("at") + (F.col("rank") - F.col("lo")) % F.col("each") * ranked["length"]).alias("offset"),
     )
     full = pieces.filter(F.col("length") == room).withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long")})
-    return placed.unionByName(full)
+    return short.join(placed.hint("merge"), "row").select(*pieces.columns, "sequence_id", "offset").unionByName(full)
 
 
-def pack_documents(docs: DataFrame, room: int = ROOM, end_id: int = 0, with_ids: bool = True) -> DataFrame:
-    """Texts tokenised, cut and packed: doc_id, piece, start, length, ids or ids_crc32, sequence_id, offset.
+def pack_documents(docs: DataFrame, room: int = ROOM, end_id: int = 0) -> DataFrame:
+    """Texts tokenised, cut and packed: doc_id, piece, start, length, ids, sequence_id, offset.
 
-    A null or empty text is a piece of one id, the end; null ids and repeated rows are packed like any other. with_ids keeps
-    the ids themselves; without them only their checksum is written and shuffled.
+    A null or empty text is a piece of one id, the end; null ids and repeated rows are packed like any other, ties of length
+    go in the order of the rows. ids are little-endian unsigned 32-bit numbers, as tokens.token_pieces gives them.
     """
     pieces = tokens.token_pieces(docs, room, end_id)
-    last = F.col("ids") if with_ids else F.crc32("ids").alias("ids_crc32")
-    pieces = common.save(pieces.select(F.monotonically_increasing_id().alias("row"), "doc_id", "piece", "start", "length", last), "pieces")
+    pieces = common.save(pieces.select(F.monotonically_increasing_id().alias("row"), "doc_id", "piece", "start", "length", "ids"), "pieces")
     return pack(pieces, room).drop("row")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import exact, langid, mixing, packing, quality, secrets, simhash, substrings, tokens, toxicity
 from .common import documents, labels
@@ -35,7 +35,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir), with_ids=False)
+    packed = packing.pack_documents(documents(spark, sf_dir))
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
