@@ -2,7 +2,8 @@
 
 Candidates are long unbroken runs of token characters with a digit, or of letters alone, values of any shape that a secret's
 name is set to, passwords in URLs and the bodies of private keys; a name and its "=" are context. The forest sees the candidate's length, its character
-transitions, how much of it a dictionary covers, its path and the words beside it, and is trained on labelled findings.
+transitions, how much of it a dictionary covers, its path and the words beside it, and is trained on labelled findings. The
+dictionary is the corpus's own vocabulary, its most frequent words, with some words of code.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ _RUN = r"(?<![A-Za-z0-9_+/.\-])(?:(?=[A-Za-z_+/.\-]*[0-9])[A-Za-z0-9_+/.\-]{16,}
 CANDIDATE = "|".join((_PEM, _LOGIN, _NAMED, _RUN))
 CONTEXT = 40
 TREES, DEPTH, SEED, LEAST = 24, 7, 11, 0.5
-#: Fragments that people write and generators do not.
-DICTIONARY = "example|sample|test|dummy|placeholder|changeme|xxxx|your|user|name|mail|host|local|http|www|com|org|net|file|path|lib|python|site|package|version|config|data|index|page|image|static|get|set|item|value|number|table|page|the|and|for|with"
+#: The bound of the dictionary: so many of the corpus's most frequent words, with at least so many letters.
+WORDS, LETTERS = 20_000, 4
+#: Words of code and of samples, which prose may lack.
+CODE = "example sample test dummy placeholder changeme your user name mail host local localhost http www com org net file path lib python site package version config data index page image static get set item value number table render handler buffer environ getenv process request headers settings self token secret password required optional string none null true false".split()
+_PART = r"\p{Lu}?\p{Ll}{2,}|\p{Lu}{2,}"
 FEATURES = ("length", "transitions", "distinct", "digits", "hex", "covered", "path_code", "path_example", "named_secret", "named_other", "assigned", "quoted", "after_at", "prose", "login", "symbols", "upper")
 
 _SECRET_WORD = r"(?i)(token|secret|api[_\- ]?key|access[_\- ]?key|passw(or)?d|pwd|passphrase|credential|bearer|auth|private[_\- ]?key)[^\n]{0,12}$"
@@ -47,8 +51,25 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     return both.withColumns({"before": F.right("before", F.lit(CONTEXT)), "after": F.left(F.coalesce("after", F.lit("")), F.lit(CONTEXT))})
 
 
+def vocabulary(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """word: the most frequent words of all texts (ties by name), at most `words` of them, and the words of CODE."""
+    found = docs.select(F.explode(F.regexp_extract_all(F.lower(common.text_or_empty()), F.lit(r"\p{L}{%d,}" % LETTERS), F.lit(0))).alias("word"))
+    most = found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(words).select("word")
+    return common.save(most.unionByName(docs.sparkSession.createDataFrame([(w,) for w in CODE], "word string")).distinct(), "vocabulary")
+
+
+def covered(found: DataFrame, words: DataFrame) -> DataFrame:
+    """Adds covered: the share of a candidate's characters that lie in words. Needs row, which no other candidate has.
+
+    A candidate is cut into words where its case changes and at other characters than letters. words has a bound, and is broadcast.
+    """
+    parts = found.select("row", F.explode(F.regexp_extract_all("candidate", F.lit(_PART), F.lit(0))).alias("part")).select("row", F.lower("part").alias("word"))
+    sums = parts.join(F.broadcast(words), "word", "left_semi").groupBy("row").agg(F.sum(F.length("word")).alias("in_words"))
+    return found.join(sums, "row", "left").withColumn("covered", F.coalesce(F.col("in_words"), F.lit(0)) / F.length("candidate")).drop("in_words")
+
+
 def features(found: DataFrame) -> DataFrame:
-    """Adds the FEATURES; needs candidate, before, after and path."""
+    """Adds the other FEATURES; needs candidate, before, after and path."""
     c = F.col("candidate")
     size = F.length(c)
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0"), "[^aB0]", "-")
@@ -62,7 +83,6 @@ def features(found: DataFrame) -> DataFrame:
             "distinct": F.size(F.array_distinct(F.split(c, ""))) / size,
             "digits": share("[0-9]"),
             "hex": share("[0-9a-f]"),
-            "covered": 1 - F.length(F.regexp_replace(F.lower(c), DICTIONARY, "")) / size,
             "path_code": yes(path.rlike(r"\.(py|js|ts|java|go|rb|env|ya?ml|json|ini|cfg|conf|toml)$|config|settings")),
             "path_example": yes(path.rlike("test|example|sample|fixture|mock|docs?/|readme")),
             "named_secret": yes(F.col("before").rlike(_SECRET_WORD)),
@@ -79,9 +99,10 @@ def features(found: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """Labelled findings of common kinds, made from hashes: candidate, before, after, path, label. n bounds the training.
+    """Labelled findings of common kinds, made from hashes: candidate, before, after, path, label, kind. n bounds the training.
 
-    Real findings of a review can be used instead: any table with these columns.
+    They stand in for the findings of a review where a corpus has none, as no table here does; a table of real ones with
+    these columns (kind aside) is the scan's input otherwise.
     """
     h = lambda k: F.sha2(F.concat(F.lit(f"{k}:"), F.col("id").cast("string")), 256)
     b64 = lambda k: F.regexp_replace(F.base64(F.unhex(h(k))), "[+/=]", "x")
@@ -128,27 +149,43 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         closing = F.when(before.endswith("KEY-----"), F.lit("-----END")).when(before.rlike("://[a-z]*:$"), F.lit("@host/db")).otherwise(F.regexp_extract(before, "[\"'`]$", 0))
         path = pick(40, "src/app.py", "deploy/config.yaml", "src3", "web", "notes.txt") if label else pick(41, "src/app.py", "docs/readme.md", "tests/fixture.json", "src3", "web", "notes.txt")
         text = F.concat(prose, before, candidate, closing, pick(42, " and then", " the", "\n", ", ", " la"))
-        one = one.select(F.struct(candidate.alias("planted"), F.lit(float(label)).alias("label"), "id").alias("doc_id"), text.alias("text"), path.alias("path"))
+        one = one.select(F.struct(candidate.alias("planted"), F.lit(float(label)).alias("label"), "id", F.lit(i).alias("kind")).alias("doc_id"), text.alias("text"), path.alias("path"))
         rows = rows.unionByName(one) if rows else one
     # as the scan itself cuts them; a text without its planted value whole teaches nothing
     found = candidates(common.save(rows.coalesce(1), "planted"), "path").filter(F.col("candidate") == F.col("doc_id.planted"))
-    return common.save(found.select("candidate", "before", "after", "path", "doc_id.label"), "findings")
+    return common.save(found.select("candidate", "before", "after", "path", "doc_id.label", "doc_id.kind"), "findings")
 
 
-def fit(findings: DataFrame):
+def fit(findings: DataFrame, words: DataFrame):
+    """The forest, from findings with their label; findings without both labels teach nothing and are refused by it."""
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(features(findings).select("label", *FEATURES))
+    rows = common.save(findings.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(features(covered(rows, words)).select("label", *FEATURES))
+
+
+def judged(model, found: DataFrame, words: DataFrame) -> DataFrame:
+    """found (candidate, before, after, path and others) with probability and secret, the forest's verdict."""
+    rows = common.save(found.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    probability = F.round(vector_to_array("probability")[1], 6)
+    return model.transform(features(covered(rows, words))).select(*found.columns, probability.alias("probability"), (probability >= LEAST).alias("secret"))
+
+
+def held_out(findings: DataFrame, words: DataFrame, test) -> tuple[float, float]:
+    """Precision and recall on the findings for which the condition test holds, of a forest that learns from the others."""
+    got = judged(fit(findings.filter(~test), words), findings.filter(test), words)
+    n = got.agg(F.count_if("secret").alias("said"), F.count_if(F.col("label") == 1).alias("true"), F.count_if(F.col("secret") & (F.col("label") == 1)).alias("both")).first()
+    return (n.both / n.said if n.said else 1.0), (n.both / n.true if n.true else 1.0)
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, path: str = "source") -> DataFrame:
     """One row per candidate: doc_id, start (characters before it), length, finding (masked), sha256, probability, secret.
 
-    secret is the forest's verdict (probability of at least LEAST). Null and empty texts have no candidates; a null path is
-    an unknown one; null ids and repeated rows are scanned like any other. A text of any length is scanned whole. No shuffle.
+    findings: labelled ones to learn from (labelled_findings where there are none). secret is the forest's verdict
+    (probability of at least LEAST). Null and empty texts have no candidates; a null path is an unknown one; null ids and
+    repeated rows are scanned like any other; an empty table gives no rows. A text of any length is scanned whole, and no text
+    is shuffled.
     """
-    model = fit(labelled_findings(docs.sparkSession) if findings is None else findings)
-    scored = model.transform(features(candidates(docs, path)))
-    probability = F.round(vector_to_array("probability")[1], 6)
-    return scored.select(
-        "doc_id", "start", F.length("candidate").cast("long").alias("length"), F.concat(F.left("candidate", F.lit(4)), F.lit("...")).alias("finding"), F.sha2("candidate", 256).alias("sha256"), probability.alias("probability"), (probability >= LEAST).alias("secret")
-    )
+    words = vocabulary(docs)
+    model = fit(labelled_findings(docs.sparkSession) if findings is None else findings, words)
+    scored = judged(model, candidates(docs, path), words)
+    return scored.select("doc_id", "start", F.length("candidate").cast("long").alias("length"), F.concat(F.left("candidate", F.lit(4)), F.lit("...")).alias("finding"), F.sha2("candidate", 256).alias("sha256"), "probability", "secret")
