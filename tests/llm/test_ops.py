@@ -6,7 +6,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from answerloom.llm import common, exact, graph, langid, mixing, packing, quality, queries, secrets, simhash, substrings, tokens, toxicity
@@ -74,6 +76,25 @@ def test_sql(spark, duck, name):
     assert same(df.collect(), df.columns, duck.execute(queries.oracle_sql()[name]))
 
 
+def test_schedule_is_van_der_corput(docs):
+    quota = mixing.quotas(mixing.targets(mixing.sizes(docs)), 64)
+    sources = [(r.src, r.first, r.slots) for r in quota.collect() if r.slots]
+    k = max(1, (sum(n for _, _, n in sources) - 1).bit_length())
+    want, ranks = [], Counter()
+    for i in range(1 << k):
+        v = int(f"{i:0{k}b}"[::-1], 2)
+        for src, first, n in sources:
+            if first <= v < first + n:
+                want.append((i, src, ranks[src]))
+                ranks[src] += 1
+    assert [(r.slot, r.src, r["rank"]) for r in mixing.schedule(quota, 64).orderBy("slot").collect()] == want
+    firsts = {r.doc_id: r.first_slot for r in mixing.mix(docs, block=64).collect()}
+    least = {}
+    for r in mixing.mixed(docs, block=64, order=True).collect():
+        least[r.doc_id] = min(least.get(r.doc_id, r.slot), r.slot)
+    assert {i: f for i, f in firsts.items() if f is not None} == least
+
+
 def test_mix_reaches_targets(docs):
     rows = mixing.mix(docs).toPandas()
     again = mixing.mix(docs.repartition(7)).toPandas()
@@ -134,14 +155,66 @@ def test_passages_resist_insertions(spark):
     got = found.collect()
     assert {r.doc_id for r in got} == set(range(20)) and {r.later for r in got if r.doc_id == 0} == {False}
     texts = dict(rows)
-    for r in got:
-        span = texts[r.doc_id].encode()[r.start : r.end].decode()
-        assert len(span) >= substrings.PASSAGE and span in texts[0 if r.later else 1]
+    for i in range(20):
+        spans, at = [(r.start, r.end) for r in got if r.doc_id == i], texts[i].index(passage)
+        assert abs(min(s for s, _ in spans) - at) <= 4 and abs(max(e for _, e in spans) - at - len(passage)) <= 4
     cut = {r.doc_id: r.text for r in substrings.without_passages(docs, found).collect()}
     assert cut[0] == texts[0] and all(len(cut[i]) < len(texts[i]) for i in range(1, 20)) and cut[105] == texts[105]
 
 
-def test_suffix_automaton_counts_phrases():
+def brute_repeats(texts, n):
+    """Bytes of each (id, text) that lie in a window of n bytes which a text under another id has too."""
+    p, blobs = np.uint64(0x9E3779B97F4A7C15), [t.encode() for _, t in texts]
+    found = []
+    for d in blobs:
+        b = np.frombuffer(d, np.uint8).astype(np.uint64) + np.uint64(7)
+        h = np.zeros(max(0, len(b) - n + 1), np.uint64)
+        for j in range(n if len(h) else 0):
+            h = h * p + b[j : j + len(h)]
+        found.append(h)
+    owner = np.repeat([hash(i) for i, _ in texts], [len(h) for h in found])
+    pairs = np.unique(np.stack([np.concatenate(found), owner.astype(np.uint64)]), axis=1)
+    values, count = np.unique(pairs[0], return_counts=True)
+    more, out = values[count > 1], []
+    for d, h in zip(blobs, found, strict=True):
+        mask = np.zeros(len(d) + 1, np.int32)
+        at = np.flatnonzero(np.isin(h, more))
+        np.add.at(mask, at, 1)
+        np.add.at(mask, at + n, -1)
+        out.append(np.cumsum(mask)[:-1] > 0)
+    return out
+
+
+def test_passages_against_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet").filter("doc_id < 500")
+    texts = [(r.doc_id, r.text or "") for r in rows.collect()]
+    mine = {i: np.zeros(len(t.encode()), bool) for i, t in texts}
+    for r in substrings.repeated_passages(rows).collect():
+        mine[r.doc_id][r.start : r.end] = True
+    long, short = brute_repeats(texts, 150), brute_repeats(texts, 40)
+    recall = sum(int((mine[i] & m).sum()) for (i, _), m in zip(texts, long, strict=True)) / max(1, sum(int(m.sum()) for m in long))
+    small = {i for i, t in texts if len(t.encode()) < substrings.PASSAGE}
+    said = [(mine[i], m) for (i, _), m in zip(texts, short, strict=True) if i not in small]
+    precision = sum(int((a & m).sum()) for a, m in said) / max(1, sum(int(a.sum()) for a, _ in said))
+    assert recall > 0.96 and precision > 0.98
+
+
+def test_short_texts_and_rows_under_one_id(spark):
+    unique = " ".join(f"u{i * 7919 % 1009}v" for i in range(200))
+    passage = " ".join(f"w{i * 31 % 997}" for i in range(150))
+    rows = [(1, passage + " one"), (2, "two " + passage), (2, unique), (3, "short text"), (4, "short text"), (5, "other"), (6, "a\n" + passage[:60]), (None, "short text"), (7, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substrings.repeated_passages(docs)
+    got = {(r.doc_id, r.start, r.end, r.later) for r in found.collect()}
+    assert {(i, s, e) for i, s, e, _ in got if i in (3, 4, None)} == {(3, 0, 10), (4, 0, 10), (None, 0, 10)}
+    edge = next((s, e) for i, s, e, _ in got if i == 2)
+    assert edge[0] <= 4 + 3 and edge[1] >= 4 + len(passage) - 3 and not {5, 6, 7, 8} & {i for i, *_ in got}
+    cut = {(r.doc_id, r.text) for r in substrings.without_passages(docs, found).collect()}
+    assert (2, unique) in cut and (5, "other") in cut and (1, rows[0][1]) in cut and (None, "short text") in cut
+    assert max(len(t) for i, t in cut if i == 2 and t != unique) < 20
+
+
+def test_suffix_automaton_counts_phrases(monkeypatch):
     sample = "the cat sat on the mat and the dog ran"
     parser = langid.Parser({"x": sample})
     folded = langid.separated(langid.letters()[langid.points(sample)]).tolist()
@@ -156,8 +229,23 @@ def test_suffix_automaton_counts_phrases():
                 n, now = n + 1, (c,) if (c,) in known else ()
         return n
 
-    for text in ("the cat ran on", "dog mat zebra sat", "q"):
-        assert abs(parser.phrases([text])[1][0][0] - phrases(text)) <= 1
+    rng = random.Random(4)
+    texts = ["the cat ran on", "dog mat zebra sat", "q", "aaaa" * 50, "the dog  ran, and the\n\nmat " * 9, "cat " * 40 + "zz" * 30, ""] + ["".join(rng.choice("thecatsonmdg qz.") for _ in range(rng.randint(1, 300))) for _ in range(60)]
+    for piece, rounds in ((256, 6), (7, 1), (3, 2)):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        monkeypatch.setattr(langid, "ROUNDS", rounds)
+        monkeypatch.setattr(langid, "BATCH_CHARS", 10 * piece)
+        assert parser.phrases(texts)[1][:, 0].tolist() == [phrases(t) for t in texts]
+        assert [parser.phrases([t])[1][0, 0] for t in texts] == [phrases(t) for t in texts]
+
+
+def test_language_ties_and_long_texts(monkeypatch):
+    predict = langid._predict({"b": "same words here", "a": "same words here"})
+    for size in (1_000_000, 30):
+        monkeypatch.setattr(langid, "BATCH_CHARS", size)
+        langid._models.clear()
+        got = next(predict(iter([pd.Series(["same words", "word " * 500, "1 2", None])])))
+        assert got.lang_pred.tolist() == ["a", "a", "und", "und"] and got.score.tolist() == [0.5, 0.5, 0.0, 0.0]
 
 
 def test_language_held_out(spark, docs):
@@ -166,6 +254,55 @@ def test_language_held_out(spark, docs):
     assert all(zlib.crc32(str(i).encode()) % 4 == 2 for i in rows.doc_id)
 
 
+def test_toxic_features(monkeypatch):
+    rng = random.Random(6)
+    texts = ["", " ", "Ab", "ABC abc", "x" * 90] + ["".join(rng.choice("abcdeABC  ,é") for _ in range(rng.randint(1, 200))) for _ in range(40)] + ["word" + " " * 70 + "word " * 30]
+
+    def grams(t):
+        s = re.sub(r"[^a-zé]+", " ", " " + t.lower())
+        return {s[i : i + k] for k in toxicity.ORDERS for i in range(len(s) - k + 1)}
+
+    monkeypatch.setattr(toxicity, "BITS", 30)
+    whole = [set(p.tolist()) for t in texts for _, _, p in toxicity.features([t])]
+    assert [len(p) for p in whole] == [len(grams(t)) for t in texts]
+    names = {}
+    for t, p in zip(texts, whole, strict=True):
+        for g in grams(t):
+            names[g] = names.get(g, p) & p
+    assert all(names.values())
+    monkeypatch.setattr(toxicity, "BATCH_CHARS", 30)
+    assert [set(p.tolist()) for t in texts for _, _, p in toxicity.features([t])] == whole
+    some = [set() for _ in texts]
+    for lo, hi, p in toxicity.features(texts):
+        for x in p.tolist():
+            some[lo + (x >> toxicity.BITS)].add(x & (1 << toxicity.BITS) - 1)
+    assert some == whole
+
+
+def test_toxicity_scores_by_brute_force(spark, docs, monkeypatch):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    places, weights, bias = toxicity.learn(docs, labels)
+    of = dict(zip(places.tolist(), weights.tolist(), strict=True))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for i, t in texts.items():
+        z = bias + sum(of.get(x & (1 << toxicity.BITS) - 1, 0) for _, _, p in toxicity.features([t]) for x in p.tolist())
+        assert abs(got[i] - 1 / (1 + np.exp(-min(40, max(-40, z))))) < 1e-4
+    monkeypatch.setattr(toxicity, "ROWS_OF_CLASS", 5)
+    monkeypatch.setattr(toxicity, "CHARS_OF_CLASS", 4000)
+    held = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: held.append((texts, toxic)))
+    toxicity.learn(docs, labels)
+    n = Counter(held[0][1].tolist())
+    assert max(n.values()) <= 5 and sum(len(t) for t, x in zip(*held[0], strict=True) if x) <= 4000
+    known = {texts[i] for i in toxic if zlib.crc32(str(i).encode()) % 5 != 0 and i in texts}
+    assert set(held[0][0]) <= known
+    both = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id long, toxic int")
+    toxicity.learn(spark.createDataFrame([(1, "aaa"), (1, "bbb"), (2, "ccc")], "doc_id long, text string"), both)
+    assert set(zip(held[-1][0], held[-1][1].tolist(), strict=True)) <= {("aaa", True), ("ccc", False)}
+
+
 def test_toxicity_held_out(spark):
     sf = f"{SF}/../sf0.01"
     rows = toxicity.score(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").toPandas()
@@ -195,8 +332,22 @@ def test_secrets_of_every_shape(spark):
     got = {(r.doc_id, some[r.doc_id][0][r.start : r.start + r.length]) for r in rows if r.secret and r.doc_id < len(some)}
     assert got == {(i, v) for i, (_, v) in enumerate(some)}
     assert [r for r in rows if r.secret and r.doc_id >= len(some)] == []
-    found = secrets.labelled_findings(spark).groupBy("label").count().collect()
+    findings = secrets.labelled_findings(spark)
+    found = findings.groupBy("label").count().collect()
     assert len(found) == 2 and min(r["count"] for r in found) > 1500
+    words = secrets.vocabulary(docs)
+    fold = secrets.held_out(findings, words, F.pmod(F.xxhash64("candidate"), F.lit(5)) == 0)
+    assert min(fold) > 0.99
+    # kinds that the forest has not seen: a token of hex digits, a random one of letters and digits
+    assert [secrets.held_out(findings, words, F.col("kind") == k) for k in (0, 3)] == [(1.0, 1.0), (1.0, 1.0)]
+
+
+def test_secret_dictionary(spark):
+    docs = spark.createDataFrame([(1, "Haus und Garten haus"), (2, None), (3, "garten haus x")], "doc_id long, text string")
+    assert {r.word for r in secrets.vocabulary(docs, 1).collect()} == {"haus", *secrets.CODE}
+    rows = spark.createDataFrame([(1, "getHausValue"), (2, "q8Zx"), (3, "Haus_token")], "row long, candidate string")
+    got = {r.row: r.covered for r in secrets.covered(rows, secrets.vocabulary(docs)).collect()}
+    assert got == {1: 1.0, 2: 0.0, 3: 0.9}
 
 
 @pytest.fixture(scope="module")
@@ -217,6 +368,32 @@ def test_safe_cuts(text, library):
     assert ids.tolist() == library(text) + library("x " + text + " y") and n.tolist()[1] == 0
 
 
+def test_token_counts_of_long_texts_and_small_batches(docs, odd, library, monkeypatch):
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 700)
+    texts = [r.text or "" for r in docs.limit(60).collect()] + [r.text or "" for r in odd.collect() if len(r.text or "") < 9000]
+    texts += ["漢字 " * 400 + "end", "é" * 900 + " b", "a b\n" * 600]
+    path = common.tokenizer_path()
+    got = [x for _, _, ids, n in tokens.encoded(path, texts) for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert [x.tolist() for x in got] == [library(t) for t in texts]
+    sizes = [tokens.n_bytes(t) for t in texts]
+    assert sizes == [len(t.encode()) for t in texts]
+    assert all(hi - lo == 1 or sum(sizes[lo:hi]) <= 700 for lo, hi in tokens.balanced(sizes))
+
+
+def test_packing_query(spark, docs, odd, texts, library):
+    rows = queries.op6_best_fit_packing(spark, SF).collect()
+    ids = {i: [*library(t), 0] for i, t in texts.items()}
+    assert sum(r.length for r in rows) == sum(map(len, ids.values()))
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+    some = packing.pack_documents(odd).collect()
+    want = Counter((r.doc_id, n) for r in odd.collect() for n in [len(library(r.text or "")) + 1])
+    whole = Counter()
+    for r in some:
+        whole[r.doc_id] += r.length
+    assert whole == sum((Counter({i: n * k}) for (i, n), k in want.items()), Counter())
+
+
 def test_packing(docs, odd, texts, library):
     rows = packing.pack_documents(docs).toPandas()
     for i, g in rows.groupby("doc_id"):
@@ -302,6 +479,23 @@ def test_exact(odd):
     assert sum(r.kept for r in got) == len(want) == exact.without_duplicates(odd).count()
 
 
+@pytest.mark.parametrize("sizes", [(50, 40, 100), (2_000_000, 7, 3)])
+def test_exact_blocks_and_hot_groups(spark, duck, docs, monkeypatch, sizes):
+    for name, n in zip(("OWNED", "SENT", "BUCKET"), sizes, strict=True):
+        monkeypatch.setattr(exact, name, n)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_KEYS", 100)
+    df = exact.exact_duplicates(docs)
+    assert same(df.collect(), df.columns, duck.execute(exact.ORACLE))
+
+
+def test_rows_of_hot_and_other_keys_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(k, i) for k in range(5) for i in range(k)], "k int, i int")
+    of = spark.createDataFrame([(k, k, f"v{k}") for k in range(5)], "k int, n int, v string")
+    assert sorted(map(tuple, common.join_unique(rows, of, "k", "n").select("k", "i", "v").collect())) == [(k, i, f"v{k}") for k in range(5) for i in range(k)]
+
+
 def test_rice_codes_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 1000):
@@ -351,9 +545,11 @@ def test_near(which, request):
     assert got == Counter((r.doc_id, f"{f:016x}", least.get(root[f])) for r, f in zip(rows, fps, strict=True))
 
 
-@pytest.mark.parametrize("n_pivots_part", [(4, 3), (16, 2048)])
-def test_near_links_of_planted_fingerprints(spark, monkeypatch, n_pivots_part):
-    monkeypatch.setattr(simhash, "PART", n_pivots_part[1])
+@pytest.mark.parametrize("crowded, part", [(3, 3), (5, 2048), (1024, 2048)])
+def test_near_links_of_planted_fingerprints(spark, monkeypatch, crowded, part):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    monkeypatch.setattr(simhash, "PART", part)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
     rng = random.Random(2)
     fps = set()
     for _ in range(60):
@@ -374,6 +570,35 @@ def test_near_links_of_planted_fingerprints(spark, monkeypatch, n_pivots_part):
     assert sorted(map(sorted, mine.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, 1, int(i in (7, 9))) for i in range(1, 14)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = odd.collect()
+    now, before = odd, Counter((r.doc_id, r.text) for r in rows)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        now = common.save(stage(spark, now, str(tmp_path)), name)
+        assert now.columns == odd.columns
+        after = Counter((r.doc_id, r.text) for r in now.collect())
+        assert not after - before
+        gone = {t for _, t in before} - {t for _, t in after}
+        if name == "exact_dedup":
+            norm = {re.sub(common.SPACES, " ", t or "") for _, t in before}
+            assert len(after) == sum(after.values()) == len(norm) == len({re.sub(common.SPACES, " ", t or "") for _, t in after})
+        if name == "simhash_near_dedup":
+            left = [brute_fingerprint(t or "") for _, t in after]
+            assert len(set(components_of([brute_fingerprint(t or "") for _, t in before]).values())) == len(left) == len(set(left))
+        assert before.keys() and (name != "toxicity" or None in {i for i, _ in after} or gone)
+        before = after
+    mixed = corpus_pipeline.mixing_stage(spark, now, str(tmp_path))
+    assert mixed.columns == odd.columns and all(WORD.search(r.text) for r in mixed.collect())
+    packed = corpus_pipeline.packing_stage(spark, common.save(mixed, "mixed"), str(tmp_path)).collect()
+    assert sum(r.length for r in packed) == sum(len(r.ids) // 4 for r in packed) > 0
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), str(tmp_path)).collect() == [], name
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
