@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from answerloom.catalog import query
 from answerloom.functions import text as T
+from answerloom.sources.shared import save
 from answerloom.sources.tables import table
 
 _UNBOUNDED = Window.unboundedPreceding
@@ -99,13 +100,22 @@ def heading_score(a: Column, b: Column) -> Column:
     return F.when(squash(a) == squash(b), 3).when((number(a) != "") & (number(a) == number(b)), 2).when((squash(a) != "") & (F.contains(squash(b), squash(a)) | F.contains(squash(a), squash(b))), 1).otherwise(0)
 
 
-def ancestor_paths(sections: DataFrame, depth: int = 12) -> DataFrame:
-    """id, root, depth, path over parent links, by joins of doubling reach: as many as the logarithm of the depth."""
-    now = sections.select("id", F.coalesce("parent", "id").alias("up"), F.when(F.col("parent").isNull(), F.array("id")).otherwise(F.array("parent", "id")).alias("path"))
-    for _ in range(max(1, (depth - 1).bit_length())):
+def ancestor_paths(sections: DataFrame, rounds: int = 40) -> DataFrame:
+    """id, root, depth, path over parent links, by joins of doubling reach: as many as the logarithm of the depth.
+
+    A parent that is no row ends a path, and its child is a root. Rounds go on until no path grows; a cycle is refused. Each
+    round is written, so its plan stays as short as the first.
+    """
+    known = sections.select(F.col("id").alias("p"))
+    held = F.col("p").isNotNull()
+    now = sections.join(known, F.col("parent") == F.col("p"), "left").select("id", F.when(held, F.col("parent")).alias("up"), F.when(held, F.array("parent", "id")).otherwise(F.array("id")).alias("path"))
+    for _ in range(rounds):
+        now = save(now, "paths")
+        if now.filter("up is not null").isEmpty():
+            return now.select("id", F.element_at("path", 1).alias("root"), (F.size("path") - 1).alias("depth"), "path")
         above = now.select(F.col("id").alias("a_id"), F.col("up").alias("a_up"), F.col("path").alias("a_path"))
-        now = now.join(above, now["up"] == above["a_id"]).select("id", F.col("a_up").alias("up"), F.when(F.col("a_up") == F.col("up"), F.col("path")).otherwise(F.concat("a_path", F.slice("path", 2, F.size("path")))).alias("path"))
-    return now.select("id", F.col("up").alias("root"), (F.size("path") - 1).alias("depth"), "path")
+        now = now.join(above, now["up"] == above["a_id"], "left").select("id", F.col("a_up").alias("up"), F.when(F.col("a_id").isNull(), F.col("path")).otherwise(F.concat("a_path", F.slice("path", 2, F.size("path")))).alias("path"))
+    raise ValueError("the parent links form a cycle")
 
 
 def name_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", known: DataFrame | None = None) -> DataFrame:
@@ -269,15 +279,15 @@ def descendants(spark, sf_dir):
     ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     ids = ids.unionByName(spark.range(1)).distinct()
     tree = ids.select("id", F.when(c % 100 == 0, F.lit(None)).when(c % 10 == 0, c - c % 100).otherwise(c - c % 10).cast("long").alias("parent"))
-    return ancestor_paths(tree, 4).filter("id > 0")
+    return ancestor_paths(tree).filter("id > 0")
 
 
-@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\b[a-z]+\b')) AS w FROM documents WHERE lang = 'en'),
-r AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]+(?: [A-Z][a-z]+){0,4}\b')) AS name FROM documents WHERE lang = 'en'),
+@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\b[a-z]+\b')) AS w FROM documents),
+r AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]+(?: [A-Z][a-z]+){0,4}\b')) AS name FROM documents),
 c AS (SELECT name, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS example FROM r GROUP BY name)
 SELECT * FROM c WHERE EXISTS (SELECT 1 FROM (SELECT unnest(string_split(lower(name), ' ')) AS x) WHERE x NOT IN (SELECT w FROM w))""")
 def names_candidates(spark, sf_dir):
-    return name_candidates(table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text"))
+    return name_candidates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS block_id, 'no summary' AS problem FROM documents WHERE doc_id % 9 = 0 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'unknown unit' FROM documents WHERE doc_id % 13 = 0 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'unknown parent' FROM documents WHERE doc_id % 17 = 0""")
@@ -298,10 +308,10 @@ def table_headers(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", header.alias("header"), header_keys(F.array(*map(F.lit, ("Share - Total (n)", "Share - Urban", "Share - Rural")))).alias("keys"))
 
 
-@query("""SELECT conv_id, count(*) AS n_words, round(avg(length(w)), 6) AS conf, count(*) FILTER (length(w) >= 4) AS kept, string_agg(w, ' ' ORDER BY turn, k) FILTER (length(w) >= 4) AS line FROM (SELECT conv_id, turn, unnest(string_split(left(text, 60), ' ')) AS w, generate_subscripts(string_split(left(text, 60), ' '), 1) AS k FROM conversations) GROUP BY conv_id""")
+@query("""SELECT conv_id, count(*) AS n_words, round(avg(length(w)), 6) AS conf, count(*) FILTER (length(w) >= 4) AS kept, string_agg(w, ' ' ORDER BY turn, k) FILTER (length(w) >= 4) AS line FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS k FROM conversations) GROUP BY conv_id""")
 def ocr_lines(spark, sf_dir):
     """Words grouped to lines in order, with a mean confidence and only the surer ones kept (lengths stand for confidence)."""
-    w = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.left("text", F.lit(60)), " ")).alias("k", "w"))
+    w = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("k", "w"))
     kept = F.array_sort(F.collect_list(F.when(F.length("w") >= 4, F.struct("turn", "k", "w"))))
     g = w.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_words"), F.round(F.avg(F.length("w")), 6).alias("conf"), F.count_if(F.length("w") >= 4).alias("kept"), kept.alias("some"))
     return g.select("conv_id", "n_words", "conf", "kept", F.when(F.size("some") > 0, F.array_join(F.transform("some", lambda x: x["w"]), " ")).alias("line"))

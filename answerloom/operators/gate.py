@@ -124,7 +124,7 @@ def vocab(spark, sf_dir):
 _SLIP = "CASE WHEN length(word) > 6 THEN left(word, 3) || substr(word, 5, 1) || substr(word, 4, 1) || substr(word, 6) ELSE left(word, 2) || substr(word, 4) END"
 
 
-@query(f"""WITH v AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en') GROUP BY word),
+@query(f"""WITH v AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY word),
 b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark),
 u AS (SELECT DISTINCT {_SLIP} AS word FROM b WHERE length(word) >= 6),
 p AS (SELECT u.word, v.word AS other, n FROM u JOIN v ON abs(length(u.word) - length(v.word)) <= 1 AND u.word <> v.word AND damerau_levenshtein(u.word, v.word) = 1 WHERE length(u.word) >= 5)
@@ -133,7 +133,7 @@ def typo_fixes(spark, sf_dir):
     """Slips made of every longer benchmark word (two letters swapped or one dropped), and the word each one is a slip of."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct().filter("length(word) >= 6")
     slips = words.select(F.expr(_SLIP).alias("word"))
-    return typo_matches(slips, vocabulary(R.english(spark, sf_dir)))
+    return typo_matches(slips, vocabulary(table(spark, sf_dir, "documents")))
 
 
 @query("""WITH a AS (SELECT upper(n_name) AS word, count(*) AS n FROM nation GROUP BY 1), u AS (SELECT DISTINCT reverse(upper(n_name)) AS word FROM nation)
@@ -158,11 +158,11 @@ SELECT item_id, best, CASE WHEN best < -5 THEN 'I' WHEN coalesce(n_out, 0) > 0 T
 CASE WHEN best < -5 THEN 'reject' WHEN coalesce(n_out, 0) > 0 OR coalesce(n_missing, 0) > 0 OR best < 0 THEN 'answer_with_note' ELSE 'answer' END AS action FROM (SELECT item_id, round_even(best, 2) AS best FROM h) LEFT JOIN st USING (item_id)""")
 def gate_grade(spark, sf_dir):
     """Every benchmark item graded on its five best documents; all its capitalised words count as English here."""
-    docs, asked = R.english(spark, sf_dir), table(spark, sf_dir, "benchmark")
-    hits = R.bm25(docs, asked).join(docs.select("doc_id", "text"), "doc_id").join(asked.select("item_id", F.col("text").alias("question")), "item_id")
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    hits = R.bm25(R.index_of(spark, sf_dir), asked).join(docs.select("doc_id", "text"), "doc_id").join(asked.select("item_id", F.col("text").alias("question")), "item_id")
     hits = hits.select("item_id", "text", R.coverage(F.col("question"), F.col("text")).alias("score"))
     english = asked.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z0-9]*"), F.lit(0))).alias("word")).distinct()
-    corpus = docs.select(F.explode(T.terms("text")).alias("term")).distinct()
+    corpus = R.index_of(spark, sf_dir).postings.select("term").distinct()
     parts = strong_parts(asked, english).filter("kind = 'soft'")
     graded = signals(parts, hits, corpus).withColumn("grade", grade())
     return graded.select("item_id", "best", "grade", action().alias("action"))
@@ -171,9 +171,9 @@ def gate_grade(spark, sf_dir):
 @query()
 def gate_signals(spark, sf_dir):
     """Signals with the words of the corpus as the known ones (held against a plain version in the tests)."""
-    docs, asked = R.english(spark, sf_dir), table(spark, sf_dir, "benchmark")
-    hits = R.bm25(docs, asked).join(docs.select("doc_id", "text"), "doc_id").select("item_id", "text", "score")
-    corpus = docs.select(F.explode(T.terms("text")).alias("term")).distinct()
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    hits = R.bm25(R.index_of(spark, sf_dir), asked).join(docs.select("doc_id", "text"), "doc_id").select("item_id", "text", "score")
+    corpus = R.index_of(spark, sf_dir).postings.select("term").distinct()
     graded = signals(strong_parts(asked, corpus.withColumnRenamed("term", "word")), hits, corpus).withColumn("grade", grade())
     return graded.withColumn("action", action()).withColumn("notes", notes())
 
@@ -182,7 +182,7 @@ def gate_signals(spark, sf_dir):
 def unknown(spark, sf_dir):
     """Unknown words of every user turn, against the vocabulary of the English documents."""
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "text")
-    return unknown_words(turns, vocabulary(R.english(spark, sf_dir)), "turn_id", "text")
+    return unknown_words(turns, vocabulary(table(spark, sf_dir, "documents")), "turn_id", "text")
 
 
 @query("""SELECT conv_id, turn, md5(regexp_replace(regexp_replace(text, '\\S+@\\S+', '[hidden]', 'g'), '\\+?\\d[\\d\\s-]{6,}\\d', '[hidden]', 'g')) AS digest FROM conversations""".replace("\\\\", "\\"))

@@ -77,22 +77,22 @@ def parsed_reply(raw: str = "reply") -> Column:
 
 def hits_of(spark, sf_dir) -> DataFrame:
     """item_id, question, hits: the five best documents of every benchmark item with their path and pages."""
-    docs, asked = R.english(spark, sf_dir), table(spark, sf_dir, "benchmark")
-    rows = R.bm25(docs, asked).join(docs, "doc_id")
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    rows = R.bm25(R.index_of(spark, sf_dir), asked).join(docs, "doc_id")
     hit = F.struct(
         F.col("rank"),
         F.when(F.col("doc_id") % 4 == 0, "table").otherwise("section").alias("doc_type"),
         F.concat_ws(" > ", "lang", "source").alias("path"),
         F.array(F.when(F.col("doc_id") % 3 != 0, F.col("doc_id").cast("string"))).alias("printed_pages"),
         F.array((F.col("doc_id") + 20).cast("int")).alias("pdf_pages"),
-        F.left("text", F.lit(300)).alias("text"),
+        "text",
     )
     per = rows.groupBy("item_id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
     return asked.select("item_id", F.col("text").alias("question")).join(per, "item_id")
 
 
 def _prompt_sql(head: str, sep: str, tail: str, block: str) -> str:
-    return f"""WITH {R.BM25_SQL}, h AS (SELECT item_id, rank, doc_id, CASE WHEN doc_id % 4 = 0 THEN true ELSE false END AS tab, concat_ws(' > ', lang, source) AS path, CASE WHEN doc_id % 3 <> 0 THEN CAST(doc_id AS VARCHAR) ELSE '?' END AS printed, doc_id + 20 AS pdf, left(text, 300) AS t FROM bm JOIN documents USING (doc_id) WHERE rank <= 5),
+    return f"""WITH {R.BM25_SQL}, h AS (SELECT item_id, rank, doc_id, CASE WHEN doc_id % 4 = 0 THEN true ELSE false END AS tab, concat_ws(' > ', lang, source) AS path, CASE WHEN doc_id % 3 <> 0 THEN CAST(doc_id AS VARCHAR) ELSE '?' END AS printed, doc_id + 20 AS pdf, text AS t FROM bm JOIN documents USING (doc_id) WHERE rank <= 5),
 u AS (SELECT item_id, b.text AS q, string_agg({block}, chr(10) || chr(10) ORDER BY rank) AS blocks FROM h JOIN benchmark b USING (item_id) GROUP BY ALL),
 p AS (SELECT item_id, {head} || blocks || {tail} AS "user" FROM u)"""
 

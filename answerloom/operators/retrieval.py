@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from answerloom.catalog import query
 from answerloom.functions import text as T
+from answerloom.sources.shared import open_or_build
 from answerloom.sources.tables import table
 
 K1, B = 1.5, 0.75
@@ -14,28 +19,65 @@ POOL, RRF, FLOOR = 50, 60, 5
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """term, key, tf, dl: one row for each term of each document; a document without terms has none."""
-    per = docs.select(key, T.terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
-    return per.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    """term, key, tf: one row for each term of each document; a document without terms has none.
+
+    Terms are exploded before stop words go, so that both run in generated code; counts are combined before the shuffle.
+    """
+    found = docs.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
+    return found.filter(~F.col("term").isin(T.STOP)).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+
+
+class Index:
+    """Postings in ranges of terms, and each document's number of terms, both written once."""
+
+    def __init__(self, spark: SparkSession, name: str, paths: list[str], docs: DataFrame, key: str = "doc_id"):
+        self.key = key
+        # a range may end within a term, so frequent terms are spread; sorted files let a query skip what it does not ask for
+        self.postings = open_or_build(spark, f"{name}_postings", paths, lambda: postings(docs, key).repartitionByRange("term", key).sortWithinPartitions("term", key))
+        sizes = lambda: docs.select(key).join(self.postings.groupBy(key).agg(F.sum("tf").alias("dl")), key, "left").select(key, F.coalesce("dl", F.lit(0)).alias("dl"))
+        self.sizes = open_or_build(spark, f"{name}_sizes", paths, sizes)
+
+    def with_idf(self, df: DataFrame) -> DataFrame:
+        """Adds n, avgdl and idf to terms with their document counts (df)."""
+        stats = self.sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+        return df.crossJoin(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
+    def weighted(self, terms: DataFrame) -> DataFrame:
+        """term, key, w: the weight of every asked term (column term, distinct) in every document that has it."""
+        hits = self.postings.join(terms, "term", "left_semi")
+        idf = self.with_idf(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))).select("term", "idf", "avgdl")
+        w = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        return hits.join(idf, "term").join(self.sizes, self.key).select("term", self.key, w.alias("w"))
 
-def bm25(docs: DataFrame, questions: DataFrame, k: int = 5, key: str = "doc_id", qid: str = "item_id") -> DataFrame:
+
+def index_of(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of all documents: opened, or built where there is none yet or the documents' files have changed."""
+    return Index(spark, "documents", [f"{sf_dir}/documents.parquet"], table(spark, sf_dir, "documents"))
+
+
+def bm25(index: Index, questions: DataFrame, k: int = 5, qid: str = "item_id") -> DataFrame:
     """qid, key, score (6 places), rank: the k best documents of every question; ties by key, documents without a term left out.
 
-    Terms of the questions are counted and join the postings, so only postings of asked terms are shuffled; repeated terms
-    count again. Statistics come from one pass over the documents.
+    Terms of the questions are counted and join the postings, so only postings of asked terms are read and shuffled; repeated
+    terms count again.
     """
     asked = questions.select(qid, F.explode(T.terms("text")).alias("term")).groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qn"))
-    # only documents' terms that are asked for leave the scan
-    per = docs.select(key, T.terms(F.coalesce(F.col("text"), F.lit(""))).alias("terms")).select(key, "terms", F.size("terms").alias("dl"))
-    stats = per.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = asked.select("term").distinct()
-    hits = per.select(key, "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighted = hits.join(idf, "term").select("term", key, (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w"))
-    scored = weighted.join(asked, "term").groupBy(qid, key).agg(F.round(F.sum(F.col("qn") * F.col("w")), 6).alias("score"))
-    return top(scored, qid, "score", key, k)
+    weighted = index.weighted(asked.select("term").distinct())
+    scored = weighted.join(asked, "term").groupBy(qid, index.key).agg(F.round(F.sum(F.col("qn") * F.col("w")), 6).alias("score"))
+    return top(scored, qid, "score", index.key, k)
+
+
+def padded(ranked: DataFrame, questions: DataFrame, index: Index, k: int, qid: str = "item_id") -> DataFrame:
+    """ranked, filled up to k rows a question with documents of score 0 in the order of their keys, as a plain list of all would be.
+
+    k * 2 of the first documents are enough to fill any question up, so no product of questions and documents is made.
+    """
+    first = index.sizes.select(index.key).orderBy(index.key).limit(2 * k)
+    short = questions.select(qid).join(ranked.groupBy(qid).agg(F.count(F.lit(1)).alias("n")), qid, "left").filter(F.coalesce("n", F.lit(0)) < k)
+    more = short.join(F.broadcast(first)).join(ranked.select(qid, index.key), [qid, index.key], "left_anti")
+    place = F.row_number().over(Window.partitionBy(qid).orderBy(index.key))
+    more = more.withColumn("rank", (F.coalesce("n", F.lit(0)) + place).cast("int")).filter(F.col("rank") <= k)
+    return ranked.unionByName(more.select(qid, index.key, F.lit(0.0).alias("score"), "rank"))
 
 
 def top(scored: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
@@ -52,14 +94,49 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Vectors, and queries, that one matrix product takes.
+ROWS, ASKED = 4096, 512
+
+
+def _best_of_blocks(k: int):
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unit(rows: list, width: int) -> np.ndarray:
+            m = np.array([r if r is not None else [np.nan] * width for r in rows], np.float64).reshape(-1, width)
+            with np.errstate(all="ignore"):
+                return m / np.sqrt((m * m).sum(1))[:, None]
+
+        for batch in batches:
+            for b in batch.to_pylist():
+                width = next((len(v) for v in (*b["queries"], *b["vectors"]) if v is not None), 0)
+                if not width:
+                    continue
+                score = np.round(unit(b["queries"], width) @ unit(b["vectors"], width).T, 5)
+                score[np.isnan(score)] = -np.inf
+                ids, out = np.array(b["ids"]), ([], [], [])
+                for q, row in zip(b["query_ids"], score, strict=True):
+                    order = np.lexsort((ids, -row))[:k]
+                    order = order[row[order] > -np.inf]
+                    out[0].extend([q] * len(order))
+                    out[1].extend(ids[order].tolist())
+                    out[2].extend(row[order].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+    return best
+
+
 def vector_search(vectors: DataFrame, asked: DataFrame, k: int = 5, where: Column | None = None) -> DataFrame:
     """query_id, vec_id, score (5 places), rank: exact cosine top k of every query vector over all (filtered) vectors.
 
-    asked (query_id, query) is a stated set of queries, which every task scores its block of vectors against.
+    asked (query_id, query) is a stated set of queries. Both sides are cut into blocks, each pair of blocks is one matrix
+    product, and only its best k of each query leave the task. Null vectors and those of length zero are no hits. The planner
+    broadcasts the queries' blocks only where they are small.
     """
     space = vectors.filter(where) if where is not None else vectors
-    scored = space.select("vec_id", "embedding").join(F.broadcast(asked.select("query_id", "query"))).select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 5).alias("score"))
-    return top(scored, "query_id", "score", "vec_id", k)
+    part = lambda key, df, size: F.pmod(F.xxhash64(key), F.lit(max(1, -(-df.count() // size))))
+    blocks = space.filter("embedding is not null").groupBy(part("vec_id", space, ROWS).alias("b")).agg(F.collect_list("vec_id").alias("ids"), F.collect_list("embedding").alias("vectors"))
+    queries = asked.filter("query is not null").groupBy(part("query_id", asked, ASKED).alias("q")).agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("query").alias("queries"))
+    best = blocks.crossJoin(queries).select("ids", "vectors", "query_ids", "queries").mapInArrow(_best_of_blocks(k), "query_id long, vec_id long, score double")
+    return top(best, "query_id", "score", "vec_id", k)
 
 
 def fuse(first: DataFrame, second: DataFrame, by: str, key: str, k: int, pool: int = POOL) -> DataFrame:
@@ -85,6 +162,23 @@ def coverage(question: Column, text: Column) -> Column:
     return F.round(20 * share - 10, 4)
 
 
+def holders(index: Index, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """item_id, doc_id: the documents that hold an item's text verbatim.
+
+    A holder has all terms of the item but its first and last, which may be cut. The rarest of them picks the candidates by an
+    equi-join on the postings; only those are compared. Items without an inner term are compared with all documents.
+    """
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    inner = items.select("item_id", F.explode(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))).alias("term")).filter(~F.col("term").isin(T.STOP)).distinct()
+    df = index.postings.join(inner.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = inner.join(df, "term", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))["term"].alias("term"))
+    pairs = rarest.join(index.postings.select("term", "doc_id"), "term").select("item_id", "doc_id")
+    texts = items.select("item_id", F.col("text").alias("item"))
+    found = pairs.join(texts, "item_id").join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "item"))
+    bare = texts.join(rarest, "item_id", "left_anti").join(docs.select("doc_id", "text"), F.contains("text", "item"))
+    return found.select("item_id", "doc_id").unionByName(bare.select("item_id", "doc_id"))
+
+
 def index_status(chunks: DataFrame, index: DataFrame, key: str = "chunk_id") -> DataFrame:
     """key, state: missing, extra or changed, by fingerprint; an index in step gives no row."""
     a = chunks.select(key, F.col("fingerprint").alias("now"))
@@ -100,6 +194,44 @@ def refresh(chunks: DataFrame, index: DataFrame, embed, key: str = "chunk_id") -
     return same.unionByName(new.select(*same.columns))
 
 
+def open_or_refresh(chunks: DataFrame, index: DataFrame, embed, key: str = "chunk_id") -> DataFrame:
+    """The index as it is where it is in step with the chunks, else refreshed; its rows then have to be as many as the chunks'."""
+    if index_status(chunks, index, key).isEmpty():
+        return index
+    fresh = refresh(chunks, index, embed, key)
+    if (a := fresh.count()) != (b := chunks.count()):
+        raise ValueError(f"{a} vectors for {b} chunks")
+    return fresh
+
+
+def search(method: str, lists: dict[str, DataFrame], k: int, by: str = "item_id", key: str = "doc_id") -> DataFrame:
+    """Hits of one of the methods bm25, vector, hybrid and rerank from ranked lists (by, key, score, rank) of the first two.
+
+    rerank needs lists["rescored"] (by, key, score), the scores of the fused list's pairs under a better measure.
+    """
+    if method in ("bm25", "vector"):
+        return lists[method].filter(F.col("rank") <= k).select(by, key, "score", "rank")
+    if method not in ("hybrid", "rerank"):
+        raise ValueError(f"unknown method {method!r}")
+    fused = fuse(lists["bm25"], lists["vector"], by, key, k if method == "hybrid" else 20)
+    if method == "hybrid":
+        return fused
+    rescored = fused.select(by, key, F.col("rank").alias("fused_rank")).join(lists["rescored"].select(by, key, "score"), [by, key])
+    ranked = rescored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "fused_rank")))
+    return with_floor(ranked, by, k).select(by, key, "score", "rank")
+
+
+def dual_search(first: DataFrame, second: DataFrame, scores, k: int = 5, pool: int = 10, by: str = "item_id", key: str = "doc_id") -> DataFrame:
+    """by, key, score, rank: the pools of two queries of the same question, each hit once, scored anew against the second.
+
+    scores(pairs) adds score to distinct pairs (by, key); ties keep the order of first appearance.
+    """
+    both = first.filter(F.col("rank") <= pool).select(by, key, F.struct(F.lit(0).alias("list"), "rank").alias("seen")).unionByName(second.filter(F.col("rank") <= pool).select(by, key, F.struct(F.lit(1).alias("list"), "rank").alias("seen")))
+    pairs = both.groupBy(by, key).agg(F.min("seen").alias("seen"))
+    order = Window.partitionBy(by).orderBy(F.desc("score"), "seen")
+    return scores(pairs).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(by, key, "score", "rank")
+
+
 def with_context(hits: DataFrame, chunks: DataFrame, by: str = "qid", first: int = 3, tail: int = 700) -> DataFrame:
     """Hits of the first ranks with the end of the chunk before them in front, if it is of the same unit and no hit itself.
 
@@ -129,14 +261,10 @@ def refine(hits: DataFrame, question: str = "question", text: str = "text", keep
     return with_parts.withColumn(text, F.when(whole, F.col(text)).otherwise(short)).drop("aw_parts", "aw_chosen")
 
 
-def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter("lang = 'en'")
-
-
 STOPS = ", ".join(f"'{w}'" for w in T.STOP)
 _TERMS = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'), lambda w: w NOT IN (" + STOPS + "))"
 BM25_SQL = f"""
-per AS (SELECT doc_id, {_TERMS.format('text')} AS terms FROM documents WHERE lang = 'en'),
+per AS (SELECT doc_id, {_TERMS.format('text')} AS terms FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM per),
 asked AS (SELECT item_id, term, count(*) AS qn FROM (SELECT item_id, unnest({_TERMS.format('text')}) AS term FROM benchmark) GROUP BY ALL),
 hits AS (SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM per) WHERE term IN (SELECT term FROM asked) GROUP BY term, doc_id),
@@ -148,7 +276,7 @@ bm AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_
 
 @query(f"WITH {BM25_SQL} SELECT item_id, doc_id, score, rank FROM bm WHERE rank <= 5")
 def bm25_topk(spark, sf_dir):
-    return bm25(english(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return bm25(index_of(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 @query(f"""WITH {BM25_SQL}, cov AS (SELECT doc_id, item_id, 20 * len(list_intersect(list_distinct({_TERMS.format('b.text')}), {_TERMS.format('d.text')})) / len(list_distinct({_TERMS.format('b.text')})) - 10 AS c,
@@ -158,8 +286,8 @@ f AS (SELECT *, max(CASE WHEN fused = 1 THEN r0 END) OVER (PARTITION BY item_id)
 SELECT item_id, doc_id, round(c, 4) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, CASE WHEN fused = 1 AND r0 > 5 THEN 5 WHEN r1 > 5 AND r0 >= 5 AND r0 < r1 THEN r0 + 1 ELSE r0 END AS rank FROM f) WHERE rank <= 5""")
 def rerank_floor(spark, sf_dir):
     """The best twenty re-ranked by the share of asked terms; the first of the list before stays within the first five."""
-    docs, asked = english(spark, sf_dir), table(spark, sf_dir, "benchmark")
-    pool = bm25(docs, asked, 20).select("item_id", "doc_id", F.col("rank").alias("fused_rank"))
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    pool = bm25(index_of(spark, sf_dir), asked, 20).select("item_id", "doc_id", F.col("rank").alias("fused_rank"))
     rows = pool.join(docs.select("doc_id", "text"), "doc_id").join(asked.select("item_id", F.col("text").alias("question")), "item_id")
     scored = rows.select("item_id", "doc_id", "fused_rank", coverage(F.col("question"), F.col("text")).alias("score"))
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "fused_rank")
@@ -202,8 +330,8 @@ o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 SELECT item_id, doc_id, score, rank FROM o WHERE rank <= 10""")
 def rrf_fusion(spark, sf_dir):
     """BM25 fused with the order by shared terms."""
-    docs, asked = english(spark, sf_dir), table(spark, sf_dir, "benchmark")
-    first = bm25(docs, asked, POOL)
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    first = bm25(index_of(spark, sf_dir), asked, POOL)
     rows = first.select("item_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id").join(asked.select("item_id", F.col("text").alias("question")), "item_id")
     second = top(rows.select("item_id", "doc_id", coverage(F.col("question"), F.col("text")).alias("score")), "item_id", "score", "doc_id", POOL)
     return fuse(first, second, "item_id", "doc_id", 10)
@@ -217,14 +345,14 @@ def fingerprints(spark, sf_dir):
     )
 
 
-@query("""WITH c AS (SELECT doc_id AS chunk_id, md5(text) AS f FROM documents WHERE doc_id % 7 <> 0), i AS (SELECT doc_id AS chunk_id, md5(CASE WHEN doc_id % 11 = 0 THEN 'old' ELSE text END) AS f FROM documents WHERE doc_id % 5 <> 0)
-SELECT coalesce(c.chunk_id, i.chunk_id) AS chunk_id, CASE WHEN i.f IS NULL THEN 'missing' WHEN c.f IS NULL THEN 'extra' ELSE 'changed' END AS state FROM c FULL JOIN i USING (chunk_id) WHERE c.f IS DISTINCT FROM i.f""")
+@query("""WITH c AS (SELECT doc_id AS chunk_id, md5(text) AS f FROM documents), i AS (SELECT doc_id * 2 AS chunk_id, md5(CASE WHEN doc_id % 11 = 0 THEN 'old' ELSE (SELECT text FROM documents x WHERE x.doc_id = d.doc_id * 2) END) AS f FROM documents d)
+SELECT coalesce(c.chunk_id, i.chunk_id) AS chunk_id, CASE WHEN i.f IS NULL AND i.chunk_id IS NULL THEN 'missing' WHEN c.chunk_id IS NULL THEN 'extra' ELSE 'changed' END AS state FROM c FULL JOIN i USING (chunk_id) WHERE c.f IS DISTINCT FROM i.f OR c.chunk_id IS NULL""")
 def index_state(spark, sf_dir):
-    """Two states of a corpus, one with documents gone, the other with documents missing and changed."""
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "chunk_id")
-    now = docs.filter("chunk_id % 7 <> 0").select("chunk_id", F.md5("text").alias("fingerprint"))
-    then = docs.filter("chunk_id % 5 <> 0").select("chunk_id", F.md5(F.when(F.col("chunk_id") % 11 == 0, "old").otherwise(F.col("text"))).alias("fingerprint"))
-    return index_status(now, then)
+    """The corpus beside an index of the even numbers up to twice its own: odd ones are missing, the upper half is extra, some are old."""
+    docs = table(spark, sf_dir, "documents")
+    now = docs.select(F.col("doc_id").alias("chunk_id"), F.md5("text").alias("fingerprint"))
+    then = docs.select((F.col("doc_id") * 2).alias("chunk_id"), F.col("doc_id").alias("i")).join(docs.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id", "left")
+    return index_status(now, then.select("chunk_id", F.md5(F.when(F.col("i") % 11 == 0, "old").otherwise(F.coalesce("text", F.lit("gone")))).alias("fingerprint")))
 
 
 @query(f"""WITH {BM25_SQL}, h AS (SELECT * FROM bm WHERE rank <= 5),
@@ -235,15 +363,15 @@ SELECT item_id, rank, row_no, md5(CASE WHEN use THEN '...' || right(pt, 700) ||
 def context_expand(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     chunks = docs.select(F.col("doc_id").alias("row_no"), F.col("lang").alias("unit"), F.lit("text").alias("doc_type"), "text", F.array(F.col("doc_id"), F.col("doc_id") + 1).alias("pages"))
-    hits = bm25(docs.filter("lang = 'en'"), table(spark, sf_dir, "benchmark")).withColumnRenamed("doc_id", "row_no").join(chunks, "row_no")
+    hits = bm25(index_of(spark, sf_dir), table(spark, sf_dir, "benchmark")).withColumnRenamed("doc_id", "row_no").join(chunks, "row_no")
     return with_context(hits, chunks, "item_id").select("item_id", "rank", "row_no", F.md5("text").alias("text_md5"), F.size("pages").alias("n_pages"))
 
 
 @query()
 def refine_strips(spark, sf_dir):
     """Best sentences of every hit with those beside them (held against a plain version in the tests)."""
-    docs, asked = english(spark, sf_dir), table(spark, sf_dir, "benchmark")
-    hits = bm25(docs, asked).join(docs.select("doc_id", "text"), "doc_id").join(asked.select("item_id", F.col("text").alias("question")), "item_id")
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    hits = bm25(index_of(spark, sf_dir), asked).join(docs.select("doc_id", "text"), "doc_id").join(asked.select("item_id", F.col("text").alias("question")), "item_id")
     return refine(hits.withColumn("doc_type", F.lit("text"))).select("item_id", "doc_id", "rank", "text")
 
 
@@ -253,11 +381,52 @@ q AS (SELECT DISTINCT item_id FROM gold)
 SELECT CAST(count(*) AS BIGINT) AS questions, avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END) AS hit_1, avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END) AS hit_3, avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END) AS hit_5, round(avg(CASE WHEN r <= 10 THEN 1.0 / r ELSE 0 END), 6) AS mrr_10 FROM q LEFT JOIN f USING (item_id)""")
 def rank_metrics(spark, sf_dir):
     """Hit rates and reciprocal rank of BM25 on the items that documents hold verbatim."""
-    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    gold = docs.select("doc_id", "text").join(F.broadcast(asked.select("item_id", F.col("text").alias("item"))), F.contains("text", "item")).select("item_id", "doc_id")
-    ranked = bm25(docs.filter("lang = 'en'"), asked, 10)
-    first = ranked.join(gold, ["item_id", "doc_id"]).groupBy("item_id").agg(F.min("rank").alias("r"))
+    index, docs, asked = index_of(spark, sf_dir), table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    gold = holders(index, docs, asked)
+    first = bm25(index, asked, 10).join(gold, ["item_id", "doc_id"]).groupBy("item_id").agg(F.min("rank").alias("r"))
     hit = lambda k: F.avg(F.when(F.col("r") <= k, 1.0).otherwise(0.0)).alias(f"hit_{k}")
     return gold.select("item_id").distinct().join(first, "item_id", "left").agg(
         F.count(F.lit(1)).alias("questions"), hit(1), hit(3), hit(5), F.round(F.avg(F.coalesce(F.when(F.col("r") <= 10, 1 / F.col("r")), F.lit(0.0))), 6).alias("mrr_10")
     )
+
+
+_COV_B = f"round(20 * len(list_intersect(list_distinct({_TERMS.format('b.text')}), {_TERMS.format('d.text')})) / len(list_distinct({_TERMS.format('b.text')})) - 10, 4)"
+
+
+def coverage_scores(spark, sf_dir):
+    """Adds score to pairs (item_id, doc_id): the share of the item's terms that the document has."""
+    docs, asked = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    return lambda pairs: pairs.join(docs, "doc_id").join(asked, "item_id").withColumn("score", coverage(F.col("question"), F.col("text"))).drop("text", "question")
+
+
+@query(f"""WITH {BM25_SQL}, kw AS (SELECT item_id, array_to_string({_TERMS.format("regexp_replace(text, '[.].*', '', 's')")}, ' ') AS text FROM benchmark),
+a2 AS (SELECT item_id, term, count(*) AS qn FROM (SELECT item_id, unnest({_TERMS.format('text')}) AS term FROM kw) GROUP BY ALL),
+s2 AS (SELECT item_id, doc_id, round(sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM a2 JOIN hits USING (term) JOIN idf USING (term) GROUP BY ALL),
+b2 AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s2),
+u AS (SELECT item_id, doc_id, min(l * 1000 + rank) AS seen FROM (SELECT item_id, doc_id, 0 AS l, rank FROM bm WHERE rank <= 10 UNION ALL SELECT item_id, doc_id, 1, rank FROM b2 WHERE rank <= 10) GROUP BY ALL),
+c AS (SELECT u.item_id, u.doc_id, seen, {_COV_B} AS score FROM u JOIN benchmark b ON b.item_id = u.item_id JOIN documents d ON d.doc_id = u.doc_id)
+SELECT item_id, doc_id, score, rank FROM (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, seen) AS INT) AS rank FROM c) WHERE rank <= 5""")
+def dual_query_search(spark, sf_dir):
+    """Every item asked as it is and by the terms of its first sentence; both pools in one order."""
+    index, asked = index_of(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    short = asked.select("item_id", F.array_join(T.terms(F.regexp_replace("text", "(?s)[.].*", "")), " ").alias("text"))
+    return dual_search(bm25(index, asked, 10), bm25(index, short, 10), coverage_scores(spark, sf_dir))
+
+
+@query(f"""WITH {BM25_SQL} SELECT item_id, doc_id, score, rank FROM bm WHERE rank <= 3 UNION ALL
+SELECT item_id, doc_id, 0.0::DOUBLE, CAST(n + place AS INT) FROM (SELECT q.item_id, d.doc_id, q.n, row_number() OVER (PARTITION BY q.item_id ORDER BY d.doc_id) AS place FROM (SELECT item_id, count(doc_id) AS n FROM benchmark LEFT JOIN bm USING (item_id) GROUP BY item_id) q, documents d WHERE n < 3 AND NOT EXISTS (SELECT 1 FROM bm WHERE bm.item_id = q.item_id AND bm.doc_id = d.doc_id)) WHERE n + place <= 3""")
+def bm25_padded(spark, sf_dir):
+    """Always three rows a question, zero scores included."""
+    index, asked = index_of(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    return padded(bm25(index, asked, 3), asked, index, 3)
+
+
+@query("""SELECT doc_id AS chunk_id, md5(text) AS fingerprint, length(text) AS size FROM documents""")
+def index_refresh(spark, sf_dir):
+    """An index with old, missing and extra rows brought in step; lengths stand for vectors."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), "text", F.md5("text").alias("fingerprint"))
+    old = docs.select((F.col("doc_id") * 2).alias("chunk_id"), F.md5("text").alias("fingerprint"), F.lit(-1).cast("long").alias("size"))
+    embed = lambda some: some.withColumn("size", F.length("text").cast("long"))
+    kept = chunks.select("chunk_id", "fingerprint", F.length("text").cast("long").alias("size")).join(old.select("chunk_id"), "chunk_id", "left_anti")
+    return open_or_refresh(chunks, old.join(chunks, ["chunk_id", "fingerprint"], "left_anti").unionByName(kept), embed).select("chunk_id", "fingerprint", "size")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from answerloom.catalog import query
@@ -38,10 +40,23 @@ def repeated_answers(answers: DataFrame, by: str, order: str, text: str, allowed
     return marked.filter(~F.col("t").isin(allowed)).groupBy(by, "island").agg(F.first("t").alias("text"), F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter(F.col("n") >= limit).drop("island")
 
 
-def stratified_sample(rows: DataFrame, stratum: str, key: str, share: float, seed: int) -> DataFrame:
-    """The same share of each stratum in the order of a seeded hash; reruns agree. Each stratum is cut by its own threshold."""
-    h = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 20))
-    return rows.filter(h < int(share * (1 << 20)))
+#: Parts of a stratum that are cut to its quota before it is put in order as a whole.
+PARTS = 64
+
+
+def stratified_sample(rows: DataFrame, strata: list[str], key: str, share: float, seed: int) -> DataFrame:
+    """Of every stratum its share, rounded to whole rows, in the order of a seeded hash of the key; reruns agree.
+
+    Several columns keep their mix: each of their combinations is a stratum, a null one too. Parts of a stratum are cut to the
+    quota first, so no task puts a whole stratum in order.
+    """
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    quota = rows.groupBy(*strata).agg(F.round(F.count(F.lit(1)) * F.lit(share)).cast("long").alias("aw_quota"))
+    same = reduce(lambda a, b: a & b, (F.col(f"r.{c}").eqNullSafe(F.col(f"q.{c}")) for c in strata))
+    some = rows.alias("r").join(quota.alias("q"), same).select("r.*", "aw_quota").withColumns({"aw_h": h, "aw_part": F.pmod(F.xxhash64(key), F.lit(PARTS))})
+    for by in ([*strata, "aw_part"], strata):
+        some = some.withColumn("aw_n", F.row_number().over(Window.partitionBy(*by).orderBy("aw_h", key))).filter("aw_n <= aw_quota")
+    return some.drop("aw_quota", "aw_h", "aw_part", "aw_n")
 
 
 def latest(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
@@ -82,10 +97,10 @@ def latest_per_key(spark, sf_dir):
     return latest(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY md5('7:' || doc_id), doc_id) AS n, round(count(*) OVER (PARTITION BY lang, source) * 0.1::DOUBLE) AS q FROM documents) SELECT doc_id, lang, source FROM d WHERE n <= q""")
 def sample_by_stratum(spark, sf_dir):
-    """A tenth of the documents by a hash of their id, so of every language about a tenth."""
-    return stratified_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 0.1, 7)
+    """A tenth of the documents of every language and source."""
+    return stratified_sample(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", 0.1, 7)
 
 
 @query("""SELECT event_id, 'run' || (user_id % 3) AS run_id, printf('%s user %d value %.2f', event_type, user_id, value) AS line FROM events""")

@@ -6,7 +6,6 @@ files through a stream to its end, with the checkpoint in the folder the session
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from answerloom.catalog import query
 from answerloom.functions import text as T
+from answerloom.sources.shared import new_path
 from answerloom.sources.tables import table
 
 #: Turns that a session remembers, and milliseconds that it lives without a new one.
@@ -97,14 +97,7 @@ def upsert(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
 def run_once(stream: DataFrame, name: str, key: list[str], mode: str = "append") -> DataFrame:
     """Drives a stream over all that is there into a table in the shared folder, and returns that table."""
     spark = stream.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="answerloom-")
-    at = f"{root}/{name}-{uuid.uuid4().hex}"
+    at = new_path(spark, name)
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(upsert(f"{at}/table", key)).start().awaitTermination()
     return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{at}/table")
 
