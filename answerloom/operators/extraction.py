@@ -300,12 +300,19 @@ def block_problems(spark, sf_dir):
     return block_violations(blocks)
 
 
-@query("""SELECT o_orderkey, ['Area', 'Share - Urban', 'Share - Rural', 'Share - Rural'] AS header, ['Total', 'Urban', 'Rural'] AS keys FROM orders""")
+@query("""WITH r AS (SELECT n_nationkey, n_name, 'Share ' || r_name AS s FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT n_nationkey, [n_name, s || ' - Urban', s || ' - ' || n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'col4' ELSE 'Rate - (%)' END] AS header, [n_name, 'Urban', n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'col4' ELSE 'Rate - ' END] AS keys FROM r""")
 def table_headers(spark, sf_dir):
-    """A header of two levels filled to the right, and many-level names made short."""
-    rows = F.array(F.array(*map(F.lit, ("Area", "Share", "", "Share"))), F.array(*map(F.lit, ("", "Urban", "Rural", "Rural"))), F.array(*map(F.lit, ("", "", "", ""))))
+    """Two header rows of each nation's table filled to the right and joined, and names made short."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    share, odd = F.concat(F.lit("Share "), "r_name"), F.col("n_nationkey") % 2 == 1
+    # in even ones an empty column comes first, so that nothing fills it
+    rows = F.when(odd, F.array(F.array(F.col("n_name"), share, F.lit(""), F.lit("Rate")), F.array(F.lit(""), F.lit("Urban"), F.col("n_name"), F.lit("(%)")))).otherwise(F.array(F.array(F.lit(""), F.col("n_name"), share, F.lit("")), F.array(F.lit(""), F.lit(""), F.lit("Urban"), F.col("n_name"))))
     header = filled_header(rows)
-    return table(spark, sf_dir, "orders").select("o_orderkey", header.alias("header"), header_keys(F.array(*map(F.lit, ("Share - Total (n)", "Share - Urban", "Share - Rural")))).alias("keys"))
+    header = F.when(odd, header).otherwise(F.concat(F.slice(header, 2, 3), F.array(F.lit("col4"))))
+    some = n.select("n_nationkey", header.alias("header"))
+    keys = F.concat(header_keys(F.slice("header", 1, 3)), header_keys(F.slice("header", 4, 1)))
+    return some.select("n_nationkey", "header", keys.alias("keys"))
 
 
 @query("""SELECT conv_id, count(*) AS n_words, round(avg(length(w)), 6) AS conf, count(*) FILTER (length(w) >= 4) AS kept, string_agg(w, ' ' ORDER BY turn, k) FILTER (length(w) >= 4) AS line FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS k FROM conversations) GROUP BY conv_id""")

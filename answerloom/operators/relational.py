@@ -32,9 +32,9 @@ def left_join(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey").join(counted, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"))
 
 
-@query("""SELECT coalesce(a.k, b.k) AS k, a.n AS customers, b.n AS suppliers FROM (SELECT c_custkey % 50 AS k, count(*) AS n FROM customer WHERE c_custkey % 50 < 40 GROUP BY 1) a FULL JOIN (SELECT s_suppkey % 60 + 10 AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k""")
+@query("""SELECT coalesce(a.k, b.k) AS k, a.n AS customers, b.n AS suppliers FROM (SELECT c_custkey % 50 AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_suppkey % 60 + 10 AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k""")
 def full_join(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").filter("c_custkey % 50 < 40").groupBy((F.col("c_custkey") % 50).alias("k")).agg(F.count(F.lit(1)).alias("customers"))
+    a = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 50).alias("k")).agg(F.count(F.lit(1)).alias("customers"))
     b = table(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 60 + 10).alias("k")).agg(F.count(F.lit(1)).alias("suppliers"))
     return a.join(b, "k", "full")
 
@@ -208,3 +208,45 @@ def indicator_answers(spark, sf_dir):
     long = wide.unpivot(["area", "n_name"], ["total_5", "total_6"], "round", "value")
     g = long.groupBy("area").agg(F.array_sort(F.collect_list(F.struct("round", F.concat_ws(" ", "n_name", "round", "value").alias("fact")))).alias("f"))
     return g.select("area", F.array_join(F.transform("f", lambda x: x["fact"]), "; ").alias("expected"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders), n AS (SELECT a.o_orderkey AS a, b.o_orderkey AS b, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY abs(a.o_totalprice - b.o_totalprice), b.o_orderkey) AS r FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey)
+SELECT a AS o_orderkey, b AS nearest FROM n WHERE r = 1""")
+def nearest_join(spark, sf_dir):
+    """The order of the same customer that is nearest in price: neighbours of a sort, not pairs; ties by key."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    w = Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
+    v = Window.partitionBy("o_custkey").orderBy("o_totalprice", F.desc("o_orderkey"))
+    # below: of equal prices the least key; above: the row after
+    below, above = F.lag(F.struct("o_totalprice", "o_orderkey")).over(v), F.lead(F.struct("o_totalprice", "o_orderkey")).over(w)
+    first = F.min("o_orderkey").over(Window.partitionBy("o_custkey", "o_totalprice"))
+    same = F.lead("o_orderkey").over(Window.partitionBy("o_custkey", "o_totalprice").orderBy("o_orderkey"))
+    rows = o.withColumns({"below": below, "above": above, "first": first, "same": same})
+    cost = lambda c: F.struct(F.abs(F.col("o_totalprice") - F.col(f"{c}.o_totalprice")).alias("d"), F.col(f"{c}.o_orderkey").alias("k"))
+    equal = F.when(F.col("first") != F.col("o_orderkey"), F.struct(F.lit(0.0).alias("d"), F.col("first").alias("k"))).when(F.col("same").isNotNull(), F.struct(F.lit(0.0).alias("d"), F.col("same").alias("k")))
+    best = F.array_min(F.filter(F.array(equal, F.when(F.col("below").isNotNull(), cost("below")), F.when(F.col("above").isNotNull(), cost("above"))), lambda x: x.isNotNull()))
+    return rows.withColumn("best", best).filter("best is not null").select("o_orderkey", F.col("best.k").alias("nearest"))
+
+
+@query("""SELECT DISTINCT a.o_orderkey AS a, b.o_orderkey AS b FROM (SELECT l_orderkey AS o_orderkey, l_partkey FROM lineitem WHERE l_quantity > 48) a JOIN (SELECT l_orderkey AS o_orderkey, l_partkey FROM lineitem WHERE l_quantity > 48) b ON a.l_partkey = b.l_partkey AND a.o_orderkey < b.o_orderkey""")
+def set_overlap(spark, sf_dir):
+    """Orders whose sets of large parts overlap: an equi-join on the exploded members instead of a test of every pair."""
+    rows = table(spark, sf_dir, "lineitem").filter("l_quantity > 48").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
+    each = rows.select("l_orderkey", F.explode("parts").alias("p"))
+    return each.select(F.col("l_orderkey").alias("a"), "p").join(each.select(F.col("l_orderkey").alias("b"), "p"), "p").filter("a < b").select("a", "b").distinct()
+
+
+@query("""SELECT p_type, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY p_type ORDER BY first""")
+def ordered_groups(spark, sf_dir):
+    """Groups in the order of their first row."""
+    return table(spark, sf_dir, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first")).orderBy("first")
+
+
+@query("""SELECT o_orderkey, strptime(strftime(o_orderdate, '%-d %B, %Y'), '%d %B, %Y')::DATE AS parsed FROM orders""")
+def text_dates(spark, sf_dir):
+    """Dates written out with ordinals, read back; what is no date gives null."""
+    d = F.col("o_orderdate")
+    n = F.dayofmonth(d)
+    tail = F.when(n.isin(11, 12, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
+    text = F.concat(n.cast("string"), tail, F.lit(" "), F.date_format(d, "MMMM, yyyy"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.try_to_date(F.regexp_replace(text, r"(\d)(st|nd|rd|th)", "$1"), "d MMMM, yyyy").alias("parsed"))

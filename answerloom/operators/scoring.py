@@ -141,13 +141,12 @@ def stage_counts(lost: DataFrame) -> DataFrame:
 
 
 def token_f1(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """key, token_f1: overlap of the words of two texts, counted with their repeats."""
+    """key, token_f1: overlap of the words of two texts, counted with their repeats; words are counted by groups, so texts may be long."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    distinct = F.array_distinct(words(a))
-    count = lambda some, w: F.size(F.filter(some, lambda x: x == w))
-    shared = F.aggregate(distinct, F.lit(0), lambda n, w: n + F.least(count(words(a), w), count(words(b), w)))
-    n = F.size(words(a)) + F.size(words(b))
-    return rows.select(key, F.coalesce(F.round(F.try_divide(2 * shared, n), 6), F.lit(0.0)).alias("token_f1"))
+    side = lambda c, i: rows.select(key, F.explode(words(c)).alias("w"), F.lit(i).alias("side"))
+    counts = side(a, 0).unionByName(side(b, 1)).groupBy(key, "w").agg(F.count_if(F.col("side") == 0).alias("x"), F.count_if(F.col("side") == 1).alias("y"))
+    sums = counts.groupBy(key).agg(F.round(2 * F.sum(F.least("x", "y")) / F.sum(F.col("x") + F.col("y")), 6).alias("token_f1"))
+    return rows.select(key).join(sums, key, "left").select(key, F.coalesce("token_f1", F.lit(0.0)).alias("token_f1"))
 
 
 def common_answers(rows: DataFrame, model: str, key: list[str]) -> DataFrame:
@@ -162,13 +161,13 @@ def answers(spark, sf_dir) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = turns.withColumn("question", before).filter("role = 'assistant' and question is not null")
-    short = F.left(F.regexp_replace("text", r"[\n;]", " "), F.lit(160))
+    short = F.regexp_replace("text", r"[\n;]", " ")
     refuse = F.col("conv_id") % 4 == 0
     return rows.select(
         F.concat_ws("-", "conv_id", "turn").alias("qid"),
         F.concat(F.lit("m"), F.col("conv_id") % 3).alias("model"),
         "question",
-        F.when(refuse, T.NOT_FOUND).otherwise(F.concat(F.left("text", F.lit(120)), F.lit(" [1]"))).alias("answer"),
+        F.when(refuse, T.NOT_FOUND).otherwise(F.concat("text", F.lit(" [1]"))).alias("answer"),
         F.lit("answer").alias("action"),
         F.when(F.col("turn") % 5 == 1, short).otherwise(F.col("question")).alias("expected"),
         F.col("text").alias("prompt"),
@@ -219,10 +218,21 @@ def trade_offs(spark, sf_dir):
     return trade_off(measured(spark, sf_dir), ["model"])
 
 
-@query(f"WITH {MEASURED} SELECT version, round(avg((correctness >= 0.5)::INT), 3) AS right_rate, round(avg((cite_recall >= 0.5)::INT), 3) AS cited_rate FROM m GROUP BY version")
+RULES = ("rule_refuse_only_when_nothing", "rule_sources_only", "rule_cite_every_statement", "rule_length_fits", "rule_complete_list")
+
+
+def rates(checked: DataFrame, by: list[str]) -> DataFrame:
+    """Per group the share (3 places) of answers that follow each rule, among those it applies to."""
+    return checked.groupBy(*by).agg(*(F.round(F.avg(F.col(r).cast("int")), 3).alias(r) for r in RULES))
+
+
+@query("""WITH c AS (SELECT source AS model, doc_id % 2 = 0 AS a, CASE WHEN doc_id % 3 > 0 THEN doc_id % 4 > 0 END AS b, CASE WHEN doc_id % 5 > 0 THEN doc_id % 7 > 2 END AS c, CASE WHEN doc_id % 2 = 1 THEN doc_id % 3 = 0 END AS d, CASE WHEN doc_id % 4 = 3 THEN doc_id % 9 > 1 END AS e FROM documents)
+SELECT model, round(avg(a::INT), 3) AS rule_refuse_only_when_nothing, round(avg(b::INT), 3) AS rule_sources_only, round(avg(c::INT), 3) AS rule_cite_every_statement, round(avg(d::INT), 3) AS rule_length_fits, round(avg(e::INT), 3) AS rule_complete_list FROM c GROUP BY model""")
 def rule_rates(spark, sf_dir):
-    """Share of answers that follow a rule among those it applies to."""
-    return measured(spark, sf_dir).groupBy("version").agg(F.round(F.avg((F.col("correctness") >= 0.5).cast("int")), 3).alias("right_rate"), F.round(F.avg((F.col("cite_recall") >= 0.5).cast("int")), 3).alias("cited_rate"))
+    """Shares of the five rules for answers made of documents, some of them beyond a rule (scored_answers checks the rules themselves)."""
+    i = F.col("doc_id")
+    each = (i % 2 == 0, F.when(i % 3 > 0, i % 4 > 0), F.when(i % 5 > 0, i % 7 > 2), F.when(i % 2 == 1, i % 3 == 0), F.when(i % 4 == 3, i % 9 > 1))
+    return rates(table(spark, sf_dir, "documents").select(F.col("source").alias("model"), *(c.alias(r) for r, c in zip(RULES, each, strict=True))), ["model"])
 
 
 _LOST = """l AS (SELECT doc_id, CASE WHEN quality = 0 THEN CASE WHEN doc_id % 5 = 0 OR toxic = 1 THEN 'ok' ELSE 'over_answer' END WHEN doc_id % 11 = 0 THEN 'key' WHEN doc_id % 7 = 0 THEN 'index' WHEN doc_id % 3 = 0 THEN 'retrieval' WHEN doc_id % 5 = 0 THEN 'gate' WHEN doc_id % 13 = 0 THEN 'context' WHEN doc_id % 2 = 0 THEN 'ok' WHEN toxic = 1 THEN 'llm_refused' ELSE 'llm_incomplete' END AS lost_at FROM documents JOIN labels USING (doc_id))"""
@@ -255,34 +265,38 @@ def fact_parts(spark, sf_dir):
     return docs.select("doc_id", F.size(T.numbers("text")).alias("n_numbers"), F.size(T.key_words("text")).alias("n_words"), F.md5(F.array_join(F.array_sort(T.key_words("text")), " ")).alias("words_md5"))
 
 
-@query(r"""SELECT doc_id, CAST(len(list_filter(string_split(replace(replace(replace(text, ': ', ';'), '. ', ';'), ' - ', ';'), ';'), lambda p: regexp_matches(p, '[a-zA-Z]{4}'))) AS INT) >= 0 AS ok, CAST(len(regexp_extract_all(text, '(?m)^\s*(?:[-*•]|\d+[.)]|\|)')) AS INT) AS bullets FROM documents""")
+@query(r"""WITH p AS (SELECT doc_id, text, string_split(regexp_replace(text, ';|:|\.\s|\s-\s|\(\d\)', chr(1), 'g'), chr(1)) AS p FROM documents)
+SELECT doc_id, CAST(len(list_filter(p, lambda x: len(list_filter(regexp_extract_all(lower(x), '[a-z]+'), lambda w: length(w) >= 4 AND w NOT IN (""" + ", ".join(f"'{w}'" for w in T.FACT_STOP) + r"""))) > 0 OR len(list_filter(regexp_extract_all(x, '\d[\d,]*(?:\.\d+)?'), lambda y: length(replace(y, ',', '')) >= 2)) > 0)) AS INT) AS facts, CAST(len(regexp_extract_all(text, '(?m)^\s*(?:[-*•]|\d+[.)]|\|)')) AS INT) AS bullets FROM p""")
 def bullets(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", (F.size(T.facts("text")) >= 0).alias("ok"), T.bullet_count("text").alias("bullets"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.facts("text")).alias("facts"), T.bullet_count("text").alias("bullets"))
 
 
-@query(r"""WITH a AS (SELECT doc_id, 'See [' || (doc_id % 5) || '], [1, ' || (doc_id % 3 + 2) || '] and [2-4]' AS t FROM documents)
-SELECT doc_id, [CAST(doc_id % 5 AS INT), 1, CAST(doc_id % 3 + 2 AS INT), 2, 3, 4] AS cites FROM a""")
+@query(r"""WITH t AS (SELECT conv_id, turn, 'x ' || regexp_replace(text, '[.]', ' [' || turn || ', ' || (turn + 2) || '-' || (turn + conv_id % 4) || '].', 'g') AS t FROM conversations),
+g AS (SELECT conv_id, turn, len(regexp_extract_all(t, '\[[^\]]*\]')) AS n FROM t)
+SELECT conv_id, turn, CAST(n AS INT) AS n_marks, flatten(list_transform(range(n), lambda i: list_concat([turn], range(turn + 2, turn + conv_id % 4 + 1)))) AS cites FROM g""")
 def citation_parse(spark, sf_dir):
-    t = F.concat(F.lit("See ["), F.col("doc_id") % 5, F.lit("], [1, "), F.col("doc_id") % 3 + 2, F.lit("] and [2-4]"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.citations(t).alias("cites"))
+    """Every full stop of every turn becomes a citation of one source and of a range, which may be the wrong way round."""
+    mark = F.concat(F.lit(" ["), "turn", F.lit(", "), F.col("turn") + 2, F.lit("-"), F.col("turn") + F.col("conv_id") % 4, F.lit("]."))
+    t = F.concat(F.lit("x "), F.replace("text", F.lit("."), mark))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_count(t, F.lit(T.CITATION)).alias("n_marks"), F.transform(T.citations(t), lambda c: c.cast("long")).alias("cites"))
 
 
 @query(f"""SELECT conv_id, turn, starts_with(lower(trim(text)), '{T.NOT_FOUND.lower()}') OR ends_with(lower(trim(text)), '{T.NOT_FOUND.lower()}') OR (len(regexp_split_to_array(lower(trim(text)), '\\s+')) <= 25 AND ({' OR '.join(f"contains(lower(text), '{p}')" for p in T.REFUSALS)})) AS refused, CASE WHEN regexp_matches(text, '{T.LONG_REQUEST}') THEN 'long' ELSE 'short' END AS mode
-FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN left(text, 40) || ' is not mentioned, list nothing' ELSE text END AS text FROM conversations)""")
+FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN conv_id || ' is not mentioned, list nothing' ELSE text END AS text FROM conversations)""")
 def refusals(spark, sf_dir):
-    t = F.when(F.col("turn") % 3 == 0, F.concat(F.left("text", F.lit(40)), F.lit(" is not mentioned, list nothing"))).otherwise(F.col("text"))
+    t = F.when(F.col("turn") % 3 == 0, F.concat("conv_id", F.lit(" is not mentioned, list nothing"))).otherwise(F.col("text"))
     return table(spark, sf_dir, "conversations").withColumn("text", t).select("conv_id", "turn", T.refused("text").alias("refused"), T.answer_mode("text").alias("mode"))
 
 
 def _pairs(spark, sf_dir):
     """Benchmark items beside the documents with the same number, as expected and given answers."""
     items = table(spark, sf_dir, "benchmark")
-    return items.select("item_id", F.col("text").alias("expected")).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.left("text", F.lit(400)).alias("answer")), "item_id")
+    return items.select("item_id", F.col("text").alias("expected")).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("answer")), "item_id")
 
 
-@query("""WITH p AS (SELECT item_id, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS b, regexp_extract_all(lower(left(d.text, 400)), '[a-z0-9]+') AS a FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
-w AS (SELECT item_id, a, b, unnest(list_distinct(a)) AS w FROM p)
-SELECT item_id, coalesce(round(2 * sum(least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w)))) / any_value(len(a) + len(b)), 6), 0) AS token_f1 FROM w GROUP BY item_id""")
+@query("""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w, 0 AS side FROM benchmark WHERE item_id IN (SELECT doc_id FROM documents) UNION ALL SELECT item_id, unnest(regexp_extract_all(lower(d.text), '[a-z0-9]+')), 1 FROM documents d JOIN benchmark b ON d.doc_id = b.item_id),
+c AS (SELECT item_id, w, count(*) FILTER (side = 0) AS x, count(*) FILTER (side = 1) AS y FROM w GROUP BY ALL)
+SELECT item_id, round(2 * sum(least(x, y)) / sum(x + y), 6) AS token_f1 FROM c GROUP BY item_id""")
 def token_overlap(spark, sf_dir):
     return token_f1(_pairs(spark, sf_dir), "item_id", "answer", "expected")
 
@@ -294,11 +308,11 @@ def text_metrics(spark, sf_dir):
     return _pairs(spark, sf_dir).select("item_id", F.round(arrow.rouge_l(plain, F.col("expected")), 6).alias("rouge_l"), F.round(arrow.bleu(plain, F.col("expected")), 6).alias("bleu"), (plain == "").alias("empty"))
 
 
-@query("""WITH u AS (SELECT DISTINCT event_type AS model, user_id FROM events WHERE event_id % 3 <> 0), n AS (SELECT count(DISTINCT model) AS n FROM u), f AS (SELECT user_id FROM u GROUP BY user_id HAVING count(DISTINCT model) = (SELECT n FROM n))
+@query("""WITH u AS (SELECT DISTINCT event_type AS model, user_id FROM events), n AS (SELECT count(DISTINCT model) AS n FROM u), f AS (SELECT user_id FROM u GROUP BY user_id HAVING count(DISTINCT model) = (SELECT n FROM n))
 SELECT model, user_id FROM u SEMI JOIN f USING (user_id)""")
 def common_keys(spark, sf_dir):
     """Users that every event type has (relational division)."""
-    rows = table(spark, sf_dir, "events").filter("event_id % 3 <> 0").select(F.col("event_type").alias("model"), "user_id").distinct()
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), "user_id").distinct()
     return common_answers(rows, "model", ["user_id"])
 
 
@@ -318,23 +332,24 @@ def crosstab(spark, sf_dir):
     return rows.rollup("lang").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH o AS (SELECT doc_id, correct FROM (SELECT doc_id, (doc_id % 5) / 4 AS correct FROM documents)), n AS (SELECT doc_id, correct + CASE WHEN doc_id % 9 = 0 THEN 0.1::DOUBLE ELSE 1e-12::DOUBLE END AS correct FROM o WHERE doc_id % 10 <> 0)
+@query("""WITH o AS (SELECT doc_id, correct FROM (SELECT doc_id, (doc_id % 5) / 4 AS correct FROM documents)), n AS (SELECT doc_id, correct + CASE WHEN doc_id % 9 = 0 THEN 0.1::DOUBLE ELSE 1e-12::DOUBLE END AS correct FROM o UNION ALL SELECT -1 - item_id, 0.5 FROM benchmark)
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN 'gone' WHEN o.doc_id IS NULL THEN 'new' ELSE 'changed' END AS state FROM o FULL JOIN n USING (doc_id) WHERE o.correct IS NULL OR n.correct IS NULL OR abs(o.correct - n.correct) > 1e-9""")
 def regression_diff(spark, sf_dir):
     """Answers whose measure differs between two runs beyond rounding, or which one run lacks."""
     old = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5 / 4).alias("a"))
-    new = old.filter("doc_id % 10 <> 0").select("doc_id", (F.col("a") + F.when(F.col("doc_id") % 9 == 0, 0.1).otherwise(1e-12)).alias("b"))
+    more = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), F.lit(0.5).alias("b"))
+    new = old.select("doc_id", (F.col("a") + F.when(F.col("doc_id") % 9 == 0, 0.1).otherwise(1e-12)).alias("b")).unionByName(more)
     state = F.when(F.col("b").isNull(), "gone").when(F.col("a").isNull(), "new").otherwise("changed")
     return old.join(new, "doc_id", "full").filter(F.col("a").isNull() | F.col("b").isNull() | (F.abs(F.col("a") - F.col("b")) > 1e-9)).select("doc_id", state.alias("state"))
 
 
-@query("""WITH k AS (SELECT o_custkey, string_agg(o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '*' ELSE '' END, '; ' ORDER BY o_orderkey) AS gold FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey),
+@query("""WITH k AS (SELECT o_custkey, string_agg(o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '*' ELSE '' END, '; ' ORDER BY o_orderkey) AS gold FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey),
 g AS (SELECT o_custkey, unnest(regexp_extract_all(gold, '[0-9]+\\*?')) AS g FROM k), h AS (SELECT o_custkey, CAST(o_orderkey AS VARCHAR) AS hit, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)
 SELECT o_custkey, min(rank) AS gold_rank FROM h JOIN g USING (o_custkey) WHERE hit = g OR (ends_with(g, '*') AND starts_with(hit, left(g, length(g) - 1))) GROUP BY o_custkey""".replace("\\\\", "\\"))
 def gold_rank(spark, sf_dir):
     """Rank of the first hit that equals a gold id or starts with a gold prefix."""
     orders = table(spark, sf_dir, "orders")
-    gold = orders.filter("o_orderkey % 3 = 0").select("o_custkey", F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "*").otherwise("")).alias("g"))
+    gold = orders.filter("o_orderpriority = '1-URGENT'").select("o_custkey", F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "*").otherwise("")).alias("g"))
     hits = orders.select("o_custkey", F.col("o_orderkey").cast("string").alias("hit"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"))
     match = (F.col("hit") == F.col("g")) | (F.endswith("g", F.lit("*")) & F.startswith("hit", F.expr("left(g, length(g) - 1)")))
     return hits.join(gold, "o_custkey").filter(match).groupBy("o_custkey").agg(F.min("rank").cast("long").alias("gold_rank"))
