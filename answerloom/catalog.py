@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 #: Modules that register queries as they are imported.
-MODULES = ("operators.retrieval", "operators.chunking", "operators.gate", "operators.prompts", "operators.scoring", "operators.extraction", "operators.cleaning", "operators.question", "operators.comparison", "operators.relational", "plans.runs", "streaming.turns")
+MODULES = ("operators.retrieval", "operators.chunking", "operators.gate", "operators.prompts", "operators.scoring", "operators.extraction", "operators.cleaning", "operators.question", "operators.comparison", "operators.sections", "operators.relational", "plans.runs", "streaming.turns")
 
 
 def query(sql: str | None = None):

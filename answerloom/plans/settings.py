@@ -29,3 +29,33 @@ def ensure_unchanged(before: dict[str, str], now: dict[str, str]) -> None:
     """A run is taken up again only on the inputs it began with."""
     if names := changed_inputs(before, now):
         raise ValueError(f"inputs changed since the run began: {', '.join(names)}")
+
+
+def read_settings(*paths: str) -> dict:
+    """Settings files laid over one another in order: JSON, or YAML where its reader is installed."""
+
+    def read(path: str) -> dict:
+        with open(path, encoding="utf-8") as f:
+            if path.endswith(".json"):
+                return json.load(f)
+            try:
+                import yaml
+            except ImportError as e:
+                raise ValueError(f"{path}: install a YAML reader or give JSON") from e
+            return yaml.safe_load(f) or {}
+
+    return overlay(*map(read, paths))
+
+
+def document(settings: dict) -> dict:
+    """What prompts say of the document: its title, the text for nothing found, and words for it."""
+    title = settings.get("title", "the document")
+    return {"title": title, "not_found": settings.get("not_found", "Not found in the guideline."), "words": settings.get("words", {"document": "guideline"})}
+
+
+#: Names of everything a run writes, below its folder.
+PATHS = {"manifest": "manifest", "evidence": "evidence", "answers": "answers", "scored": "scored", "scorecard": "scorecard", "tradeoff": "tradeoff", "report": "report", "log": "log"}
+
+
+def paths_of(folder: str) -> dict[str, str]:
+    return {k: f"{folder}/{v}" for k, v in PATHS.items()}

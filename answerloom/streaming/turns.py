@@ -32,7 +32,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, files_a_batch: int =
 def read_files(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Like read_table where the table may be one file: streams read folders, so the folder is filtered by the name."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def turn_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
@@ -102,6 +102,49 @@ def run_once(stream: DataFrame, name: str, key: list[str], mode: str = "append")
     return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{at}/table")
 
 
+def save_sessions(states: DataFrame, path: str) -> None:
+    """Each session's turns and pending question, one row a session; the last state replaces those before it."""
+    states.select("session_id", "turns", "pending").write.mode("overwrite").parquet(path)
+
+
+def load_session(spark: SparkSession, path: str, session_id: str) -> dict | None:
+    """The state of one session as it was saved, or None; a filter that reaches the scan."""
+    row = spark.read.parquet(path).filter(F.col("session_id") == session_id).first()
+    return row.asDict(recursive=True) if row else None
+
+
+def sliding_counts(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """start, n: counts in windows of one hour every half hour of event time."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
+
+
+def session_counts(events: DataFrame, gap: str = "2 hours", late: str = "10 minutes") -> DataFrame:
+    """user_id, start, n: a user's events with gaps of less than two hours, once the watermark has closed them."""
+    return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+
+
+@query("""WITH w AS (SELECT make_timestamp(1000000 * CAST(floor(epoch(ts) / 1800) * 1800 - k * 1800 AS BIGINT)) AS start FROM events, (SELECT unnest([0, 1]) AS k)) SELECT start, count(*) AS n FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY start""")
+def stream_sliding(spark, sf_dir):
+    """Overlapping windows that the watermark has closed."""
+    events = read_files(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return run_once(sliding_counts(events), "sliding", ["start"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH m AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM m)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, i HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def stream_event_sessions(spark, sf_dir):
+    """Sessions of users that the watermark has closed."""
+    events = read_files(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return run_once(session_counts(events), "event_sessions", ["user_id", "start"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '{}') THEN 'long' ELSE 'short' END AS mode, CAST(len(regexp_split_to_array(trim(text), '\\s+')) AS INT) AS n_words FROM conversations""".format(T.LONG_REQUEST).replace("\\\\", "\\"))
+def stream_scores(spark, sf_dir):
+    """Turns scored as they come, each micro-batch saved at once, a few files at a time."""
+    rows = read_files(spark, sf_dir, "conversations").select("conv_id", "turn", T.answer_mode("text").alias("mode"), F.size(F.split(F.trim("text"), r"\s+")).alias("n_words"))
+    return run_once(rows, "scores", ["conv_id", "turn"])
+
+
 @query("""SELECT conv_id, turn, role, regexp_replace(regexp_replace(text, '\\S+@\\S+', '[hidden]', 'g'), '\\+?\\d[\\d\\s-]{6,}\\d', '[hidden]', 'g') AS question, CAST(length(text) AS INT) AS n_chars FROM conversations""".replace("\\\\", "\\"))
 def stream_question_log(spark, sf_dir):
     return run_once(log_rows(read_files(spark, sf_dir, "conversations")), "log", ["conv_id", "turn"])
