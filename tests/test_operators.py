@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from answerloom.functions import arrow, text as T
-from answerloom.operators import chunking as C, extraction as E, gate as G, prompts as P, retrieval as R, scoring as S
+from answerloom.operators import chunking as C, cleaning as K, comparison as M, extraction as E, gate as G, prompts as P, question as Q, retrieval as R, scoring as S, sections as X
 from answerloom.plans import runs, settings
 from answerloom.sources import tables
 from answerloom.streaming import turns
@@ -78,23 +78,183 @@ def test_unknown_words(spark):
 
 
 def test_packing_limits(spark):
-    chunks = C.chunk_blocks(C.document_blocks(spark.read.parquet(f"{SF}/documents.parquet"))).collect()
-    lines = {str(d.doc_id): re.findall(r"\S+", d.text) for d in spark.read.parquet(f"{SF}/documents.parquet").filter("source <> 'src3'").collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    chunks = C.chunk_blocks(C.document_blocks(docs)).collect()
+    words = {str(d.doc_id): d.text.split() for d in docs.collect()}
     held: dict[str, set] = {}
     for c in chunks:
         held.setdefault(c.block_id, set()).update(c.text.split())
         assert c.n_chars <= C.HARD_MAX or "\n\n" not in c.text
-    for block, words in lines.items():
-        if block in held:
-            assert set(words) <= held[block]
-
-
-def test_small_chunks_join():
-    parts = [("para", "A" * 900 + ".", 1), ("para", "B" * 900 + ".", 2), ("para", "Tail.", 3)]
-    chunks = C.pack_items(parts)
-    assert [len(c.parts) for c in chunks] == [1, 2] and chunks[1].pages == {2, 3}
-    assert C.pack_items([("heading", "Only", 1)]) == []
-    assert len(C.pack_items([("heading", "Title", 1), ("para", "Short.", 1)])) == 1
+    assert all(set(w) <= held[i] for i, w in words.items() if w)
+
+
+def pieces(chunks):
+    return [c["text"].split("\n\n") for c in chunks]
+
+
+def test_packing_by_its_rules():
+    a, b, c = "A" * 900 + ".", "B" * 900 + ".", "C" * 100 + "."
+    # a small last chunk joins the one before it; pages follow
+    joined = C.pack_items([("para", a, 1), ("para", b, 2), ("para", "Tail.", 3)])
+    assert pieces(joined) == [[a], [b, "Tail."]] and joined[1]["pages"] == [2, 3]
+    # no chunk without a body, and a short block is whole
+    assert C.pack_items([("heading", "Only", 1)]) == [] and C.pack_items([("heading", "Only", 1), ("table", "t", 1)]) == []
+    assert pieces(C.pack_items([("heading", "Title", 1), ("para", "Short.", 1)])) == [["Title", "Short."]]
+    # a heading opens a chunk once the one before it has enough, the first is the block's own title
+    some = C.pack_items([("heading", "Title", 1), ("para", a, 1), ("heading", "Second", 2), ("para", b, 2)])
+    assert pieces(some) == [["Title", a], ["Second", b]] and [x["sub_heading"] for x in some] == [None, "Second"]
+    some = C.pack_items([("para", c, 1), ("heading", "Early", 1), ("para", a, 1), ("para", b, 1)])
+    assert pieces(some)[0] == [c, "Early"] or pieces(some)[0][0] == c
+    # the last sentence is said again where it is short
+    first = "One long sentence " + "x" * 700 + ". A short end."
+    some = C.pack_items([("para", first, 1), ("para", "B" * 800 + ".", 2)])
+    assert some[1]["overlap"] == "A short end." and pieces(some)[1][0] == "A short end." and some[1]["pages"] == [2]
+    # headings at the end stay with the last chunk; a small first chunk joins the next
+    assert pieces(C.pack_items([("para", a, 1), ("para", b, 1), ("heading", "End", 1)]))[-1] == [b, "End"]
+    long = C.pack_items([("list", "- " + "y" * 1500, 1), ("para", "w " * 1200, 2)])
+    assert all(len(x["text"]) <= C.HARD_MAX for x in long) and pieces(long)[0] == ["- " + "y" * 1500]
+    assert C.runs_of_words("w" * 1200 + " ab " + "v" * 999) == ["w" * 1200, "ab", "v" * 999]
+    assert C.runs_of_words("") == [] and C.runs_of_words("a b") == ["a b"]
+
+
+def test_paths_of_any_depth(spark):
+    rows = [(i, i - 1 if i else None) for i in range(40)] + [(100, 99)]
+    got = {r.id: r for r in E.ancestor_paths(spark.createDataFrame(rows, "id long, parent long")).collect()}
+    assert len(got) == 41 and all(got[i].root == 0 and got[i].path == list(range(i + 1)) for i in range(40)) and got[100].root == 100
+    with pytest.raises(ValueError, match="cycle"):
+        E.ancestor_paths(spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long"), 6)
+
+
+def test_strata_with_quotas(spark):
+    rows = [(i, "rare") for i in range(3)] + [(100 + i, "common") for i in range(997)] + [(2000 + i, None) for i in range(20)]
+    got = runs.stratified_sample(spark.createDataFrame(rows, "id long, s string"), ["s"], "id", 0.1, 7).groupBy("s").count().collect()
+    assert {r.s: r["count"] for r in got} == {"common": 100, None: 2}
+
+
+def closest(word, vocab):
+    found = [(difflib.SequenceMatcher(None, v, word, autojunk=False).ratio(), v) for v in vocab]
+    return max((x for x in found if x[0] >= 0.8), default=(0, None))[1]
+
+
+def test_word_fixes(spark):
+    vocab = ["recruitment", "salary", "nurse", "nurses", "doctor", "district", "then", "than", "probation", "letters", "letter"]
+    asked = ["recruiment", "salray", "nures", "docter", "distrct", "thne", "probaton", "lettres", "zzzz", "abc"]
+    df = lambda w: spark.createDataFrame([(x,) for x in w], "word string")
+    got = {r.word: r.match for r in Q.word_fixes(df(asked), df(vocab)).collect()}
+    assert got == {w: m for w in asked if len(w) >= 4 and (m := closest(w, vocab))}
+    q = spark.createDataFrame([(1, "Probaton of the Salray in SALRAY, salray?"), (2, "")], "item_id long, text string")
+    rows = {r.item_id: r for r in Q.fixed_questions(q, df(vocab), df(["the", "of", "in"])).collect()}
+    assert rows[1].fixed == "Probation of the Salray in SALRAY, salary?" and [tuple(c) for c in rows[1].changes] == [("Probaton", "Probation"), ("salray", "salary")] and rows[2].fixed == ""
+
+
+def test_spelling_query_against_brute_force(spark):
+    got = {r.word: r.match for r in Q.spelling_fixes(spark, SF).collect()}
+    vocab = {w for r in spark.read.parquet(f"{SF}/documents.parquet").collect() for w in re.findall("[a-z]+", r.text.lower())}
+    noisy = Q.with_slips(spark.read.parquet(f"{SF}/benchmark.parquet")).collect()
+    asked = sorted({w for r in noisy for w in re.findall("[a-z]+", r.noisy.lower())} - vocab)
+    for w in asked[::12]:
+        assert got.get(w) == (closest(w, vocab) if len(w) >= 4 else None), w
+
+
+def test_prepared_questions(spark):
+    rows = {r.item_id: r for r in Q.prepared_questions(spark, SF).collect()}
+    asked = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    assert set(rows) == set(asked)
+    for i, r in rows.items():
+        if i % 20 == 19:
+            assert r.error == "no question" and r.action is None
+            continue
+        assert r.action == {"I": "reject", "M": "scoped", "P": "answer_with_note", "S": "answer"}[r.final] and (r.final == r.first or r.first == "P")
+        assert len(r.hits) == len(set(r.hits)) <= 5 and bool(r.fixed_answer) == (r.action in ("reject", "scoped")) and (r.final == "P") >= bool(r.notes)
+    assert any(r.n_changes for r in rows.values() if r.n_changes is not None)
+
+
+def test_letter_lines(spark):
+    sentence = "it is hoped that you will be able to send the lists in time"
+    text = ["D.O. No. 5", "Government of India", "Dear Sir", sentence, "Page 1 of 2", "Yours sincerely", "a stamp", sentence, "Yours faithfully", "end"]
+    rows = [("L", i, 1 if i < 7 else 2, t) for i, t in enumerate(text)]
+    got = [r.label for r in K.letter_labels(spark.createDataFrame(rows, "l string, n int, page int, text string"), "l", "n", "page").orderBy("n").collect()]
+    assert got == ["letterhead: D.O. no", "letterhead: before body", "letterhead: greeting", "", "letterhead: page no", "sign-off: yours", "after sign-off", "", "", ""]
+    assert one(spark, K.fixed_ocr(F.col("t")), t='On 21* April, 11" May, 3° June and 22"4 July\n\n| hope 5* x\n\ne All of it\n\n» so') == "On 21st April, 11th May, 3rd June and 22nd July\n\nI hope 5* x\n\n- All of it\n\nso"
+
+
+def test_pairs_by_place(spark):
+    wanted = spark.createDataFrame([(1, 10, 1, 5.0), (1, 11, 2, 6.0), (1, 12, 3, 50.0), (2, 13, 1, 0.0)], "page long, id long, place long, at double")
+    found = spark.createDataFrame([(1, 20, 7.0), (1, 21, 40.0)], "page long, id long, at double")
+    assert {(r.id, r.paired) for r in K.paired_by_place(wanted, found).collect()} == {(10, 20), (11, 21), (12, None), (13, None)}
+
+
+def test_section_starts(spark):
+    got = {(r.doc_id, r.entry): r.start for r in X.section_start_lines(spark, SF).collect()}
+    want, by = {}, {}
+    for r in X._scored(spark, SF).collect():
+        by.setdefault(r.doc_id, {}).setdefault(r.entry, []).append((r.n, r.score))
+    for d, entries in by.items():
+        after = -1
+        for e in sorted(entries):
+            some = [(-s, n) for n, s in entries[e] if s > 0 and n > after]
+            if some:
+                after = want[d, e] = min(some)[1]
+    assert got == want
+
+
+def test_balanced_chunks(spark):
+    rows = {}
+    for r in X.balanced_sentences(spark, SF).orderBy("doc_id", "k").collect():
+        rows.setdefault(r.doc_id, []).append(r["size"])
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        sentences = [s for line in d.text.split("\n") for s in C.cut_sentences(line)]
+        goal = -(-len(d.text) // max(1, round(len(d.text) / 1000)))
+        assert sum(rows.get(d.doc_id, [])) + max(0, len(rows.get(d.doc_id, [])) - 1) == len(" ".join(sentences))
+        assert all(n <= max(goal, max(map(len, sentences))) for n in rows.get(d.doc_id, []))
+
+
+def test_signals(spark):
+    known = spark.createDataFrame([("rules",), ("salary",)], "word string")
+    q = spark.createDataFrame([(1, "What are Rules of DRDO and Salary for 1999 and 57? In Infosys?")], "item_id int, text string")
+    parts = G.strong_parts(q, known)
+    assert {(r.part, r.kind) for r in parts.collect()} == {("Rules", "soft"), ("DRDO", "hard"), ("Salary", "soft"), ("1999", "number"), ("57", "number"), ("Infosys", "hard")}
+    hits = spark.createDataFrame([(1, "the rules", 1.234), (1, "x", -2.0)], "item_id int, text string, score double")
+    corpus = spark.createDataFrame([("rules",), ("infosys",)], "term string")
+    got = G.signals(parts, hits, corpus).first()
+    assert (got.best, got.hard_out, got.soft_out, got.missing) == (1.23, ["1999", "DRDO"], ["Salary"], ["Infosys"])
+
+
+def test_scores_of_answers(spark):
+    rows = [
+        ("a", "What is the salary?", "The salary is 2000 rupees [1]. Posts were filled quickly [2].", "answer", "salary 2,000 rupees", "the salary is 2000 rupees. posts were filled quickly", ["the salary is 2000 rupees", "posts were filled"]),
+        ("b", "What is the salary?", "Not found in the guideline.", "answer", "salary 2,000 rupees", "the salary is 2000 rupees", ["x"]),
+        ("c", "What is the salary?", "The salary is 900 rupees.", "answer", "salary 2,000 rupees", "nothing at all", ["nothing at all"]),
+        ("d", "List all steps", "- salary paid [1]\n- posts filled [1]", "answer", "salary 2,000 rupees; posts filled", "salary 2000 rupees; posts filled", ["salary 2000 rupees; posts filled"]),
+    ]
+    df = spark.createDataFrame(rows, "qid string, question string, answer string, action string, expected string, prompt string, sources array<string>")
+    got = {r.qid: r for r in S.rule_checks(S.score_answers(df)).collect()}
+    assert [(got[q].refused, got[q].llm_label, got[q].correctness, got[q].error) for q in "abcd"] == [(False, "answerable", 1.0, ""), (True, "answerable", None, "unwarranted refusal"), (False, "unanswerable", None, "over-responsiveness"), (False, "answerable", 0.5, "")]
+    assert (got["a"].statements, got["a"].cite_recall, got["a"].cite_precision) == (2, 1.0, 1.0)
+    assert [got[q].rule_refuse_only_when_nothing for q in "abcd"] == [True, False, False, True]
+    assert (got["c"].rule_sources_only, got["a"].rule_cite_every_statement, got["c"].rule_cite_every_statement, got["d"].rule_length_fits, got["a"].rule_length_fits) == (False, True, False, True, True)
+    assert got["b"].rule_sources_only is None and got["d"].rule_complete_list is True and got["a"].rule_complete_list is None
+
+
+def test_diagnosis_names_a_model(spark):
+    answers = spark.createDataFrame([("a",), ("b",)], "model string")
+    with pytest.raises(ValueError, match="a, b"):
+        M.report(answers, answers, None, 1)
+
+
+def test_stems():
+    pairs = "consigned consign,knackeries knackeri,communities communiti,hopping hop,hoping hope,relational relat,conditional condit,dying die,sensibility sensibl,controlling control,happy happi,kiwis kiwi,caresses caress,fluently fluentli,gas gas,ties tie,agreed agre,sky sky"
+    assert [(a, arrow.stem(a)) for a, _ in (p.split() for p in pairs.split(","))] == [tuple(p.split()) for p in pairs.split(",")]
+
+
+def test_calls_only_with_leave(spark):
+    jobs = spark.createDataFrame([("m", "v", "1", "s", "u"), ("m", "v", "2", "s", "u")], "model string, version string, qid string, system string, user string")
+    assert {r.error for r in runs.answered(jobs, lambda m: lambda s, u: {"status": 200, "text": "x"}).collect()} == {"dry run"}
+    assert {r.answer for r in runs.answered(jobs, lambda m: lambda s, u: {"status": 200, "text": "42"}, True).collect()} == {"42"}
+    bad = runs.answered(jobs, lambda m: lambda s, u: {"status": 400}, True).orderBy("qid").collect()
+    assert bad[0].error == "status 400" and bad[1].error.startswith("stopped") and runs.waits(5, 50) == [50, 100, 120, 120]
+    tries, slept = iter([{"status": 429}, {"status": 503}, {"status": 200, "text": "ok"}]), []
+    assert runs.asked_with_retries(lambda: next(tries), 3, slept.append) == {"text": "ok", "error": None} and slept == [2.0, 4.0]
 
 
 def test_rank_floor(spark):
@@ -155,8 +315,36 @@ def test_sources(spark, tmp_path):
     tables.append_new(df, f"{tmp_path}/b", ["id"], "id long, t string")
     tables.append_new(df.unionByName(spark.createDataFrame([(99, "x")], "id long, t string")), f"{tmp_path}/b", ["id"], "id long, t string")
     assert spark.read.parquet(f"{tmp_path}/b").count() == 11
-    (tmp_path / "c.csv").write_bytes(" name ,x\ncafé,1\n".encode("cp1252"))
-    assert tables.read_csv(spark, f"{tmp_path}/c.csv").first().name == "café"
+    tables.append_new(spark.createDataFrame([(7, "y"), (77, "y"), (77, "z")], "id long, t string"), f"{tmp_path}/b", ["id"], "id long, t string")
+    assert spark.read.parquet(f"{tmp_path}/b").count() == 12
+    for name, data in (("utf8", " name ,x\ncafé – “1”,1\n".encode()), ("mark", "﻿ name ,x\ncafé – “1”,1\n".encode()), ("cp1252", " name ,x\ncafé – “1”,1\n".encode("cp1252"))):
+        (tmp_path / f"{name}.csv").write_bytes(data)
+        assert tables.read_csv(spark, f"{tmp_path}/{name}.csv").first().asDict() == {"name": "café – “1”", "x": "1"}
+    (tmp_path / "latin.csv").write_bytes("é,x\nn\x81é,1\n".encode("latin-1"))
+    assert tables.read_csv(spark, f"{tmp_path}/latin.csv", "a string, b int").first() == ("n\x81é", 1)
+
+
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    for name, n in (("b", 5), ("a", 900), ("c", 3)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"t": "{name}{i}"}}\n' for i in range(n)))
+    got = tables.with_row_no(spark.read.schema("t string").json(str(tmp_path))).orderBy("row_no").collect()
+    assert [r.t for r in got] == [f"{f}{i}" for f, n in (("a", 900), ("b", 5), ("c", 3)) for i in range(n)] and [r.row_no for r in got] == list(range(908))
+
+
+def test_reports_manifests_and_kept_tables(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x")], "a int, b string")
+    tables.write_sheets({"one": df, "two": df}, f"{tmp_path}/r")
+    assert tables.read_csv(spark, f"{tmp_path}/r/two").first().b == "x"
+    m = runs.manifest("r1", {"b": 1}, {"f": "h"}, {"questions": 2}, "now")
+    tables.write_manifest(m, spark, f"{tmp_path}/m")
+    assert tables.read_manifest(spark, f"{tmp_path}/m") == m
+    made = []
+    build = lambda: (made.append(1), df)[1]
+    for print_ in ("p", "p", "q"):
+        assert tables.reuse(spark, f"{tmp_path}/k", print_, build).count() == 1
+    assert len(made) == 2
+    turns.save_sessions(spark.createDataFrame([("s", ["a"], None)], "session_id string, turns array<string>, pending string"), f"{tmp_path}/s")
+    assert turns.load_session(spark, f"{tmp_path}/s", "s")["turns"] == ["a"] and turns.load_session(spark, f"{tmp_path}/s", "t") is None
 
 
 def test_settings():
