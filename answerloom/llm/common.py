@@ -3,47 +3,16 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from answerloom.sources.shared import new_path, save
+
 #: The white space of every contract: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Where it is unset, a local session (tests) gets a temporary folder; a cluster is told to set it.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="answerloom-"))
-    return _own_dir[0]
-
-
-def save(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df to the shared folder once and return the written table.
-
-    Cuts the lineage: a lost executor costs a new read, not a new computation. The table goes when the session ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def save_bucketed(df: DataFrame, name: str, buckets: int, by: str, partition_by: str) -> DataFrame:
     """save, with the rows of a value of `by` in one bucket, so that a join on it does not shuffle this side.
@@ -51,12 +20,8 @@ def save_bucketed(df: DataFrame, name: str, buckets: int, by: str, partition_by:
     Every task writes its own rows into their buckets: writing shuffles nothing either. Buckets need a name in the catalog,
     which a catalog that outlives the session keeps as aw_<name>_<number>.
     """
-    spark = df.sparkSession
-    path, table = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", f"aw_{name}_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("path", path).partitionBy(partition_by).bucketBy(buckets, by).saveAsTable(table)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    spark, table = df.sparkSession, f"aw_{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", new_path(spark, name)).partitionBy(partition_by).bucketBy(buckets, by).saveAsTable(table)
     return spark.table(table)
 
 
@@ -127,7 +92,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 #: The most bits of the filter of ids that is broadcast: at most ID_BITS / 64 rows of two numbers, whatever the input's size.
-ID_BITS = 1 << 25
+ID_BITS = 1 << 27
 
 
 def id_filter(ids: DataFrame) -> DataFrame:
