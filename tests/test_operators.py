@@ -1,6 +1,7 @@
 """Operators held against plain versions on small fixtures."""
 
 import difflib
+import hashlib
 import re
 
 import pytest
@@ -257,6 +258,50 @@ def test_calls_only_with_leave(spark):
     assert runs.asked_with_retries(lambda: next(tries), 3, slept.append) == {"text": "ok", "error": None} and slept == [2.0, 4.0]
 
 
+def digests(rows):
+    return sorted((r.doc_id, r.k, r["size"], r.digest) for r in rows)
+
+
+def test_listed_chunks_of_all_documents(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+
+    def runs_of(text):
+        out = []
+        for w in text.split():
+            if out and len(out[-1]) + 1 + len(w) <= C.TARGET:
+                out[-1] += " " + w
+            else:
+                out.append(w)
+        return out
+
+    for name, cut in ((C.sentence_chunks, C.cut_sentences), (C.hard_split, runs_of)):
+        assert digests(name(spark, SF).collect()) == sorted((i, k, len(x), md5(x)) for i, t in texts.items() for k, x in enumerate(cut(t)))
+
+
+def test_table_chunks_against_a_plain_version(spark):
+    want, by = [], {}
+    for o in spark.read.parquet(f"{SF}/orders.parquet").orderBy("o_custkey", "o_orderkey").collect():
+        by.setdefault(o.o_custkey, []).append(f"order: {o.o_orderkey} | date: {o.o_orderdate:%Y-%m-%d} | total: {o.o_totalprice} | {o.o_orderpriority}")
+    for c, rows in by.items():
+        head, held, k = f"Orders of customer {c}", [], 0
+        for r in rows:
+            if held and len("\n".join([head, *held, r])) > C.TABLE_BUDGET:
+                want.append((c, k, "\n".join([head, *held])))
+                held, k = [], k + 1
+            held.append(r)
+        want.append((c, k, "\n".join([head, *held])))
+    assert sorted((r.o_custkey, r.k, r.text) for r in C.table_chunks(spark, SF).collect()) == sorted(want)
+
+
+def test_parsed_replies_are_the_turns(spark):
+    turns_ = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").filter("role = 'assistant'").collect()}
+    for r in P.parse_replies(spark, SF).collect():
+        t = turns_.pop((r.conv_id, r.turn))
+        assert (r.text, r.error) == (("", "no JSON reply") if r.conv_id % 5 == 0 else (t.strip(" "), None)) and (r.conv_id % 5 == 0 or (r.prompt_tokens, r.answer_tokens, r.finish_reason) == (10, len(t), "stop"))
+    assert not turns_
+
+
 def test_rank_floor(spark):
     rows = [("q", r, f) for r, f in zip(range(1, 9), (3, 4, 5, 6, 7, 8, 1, 2), strict=True)]
     got = R.with_floor(spark.createDataFrame(rows, "qid string, rank int, fused_rank int"), "qid", 5).orderBy("rank").collect()
