@@ -30,9 +30,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, files_a_batch: int =
 
 
 def read_files(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Like read_table where the table may be one file: streams read folders, so the folder is filtered by the name."""
+    """Like read_table where the table may be one file or a folder of files: streams read folders, so the path is a pattern that only it matches."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def turn_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
@@ -98,6 +98,8 @@ def run_once(stream: DataFrame, name: str, key: list[str], mode: str = "append")
     """Drives a stream over all that is there into a table in the shared folder, and returns that table."""
     spark = stream.sparkSession
     at = new_path(spark, name)
+    # a stream without a row has no batch and so writes no folder
+    spark.createDataFrame([], stream.schema).write.parquet(f"{at}/table/batch=none")
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(upsert(f"{at}/table", key)).start().awaitTermination()
     return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{at}/table")
 

@@ -409,3 +409,12 @@ def test_stream_equals_batch(spark):
     conv = spark.read.parquet(f"{SF}/conversations.parquet")
     got = turns.run_once(turns.log_rows(turns.read_files(spark, SF, "conversations")), "t", ["conv_id", "turn"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, turns.log_rows(conv).collect()))
+
+
+def test_streams_of_tables_in_folders(spark, tmp_path):
+    conv = spark.read.parquet(f"{SF}/conversations.parquet")
+    conv.repartition(3, "conv_id").write.parquet(f"{tmp_path}/many/conversations.parquet")
+    conv.limit(0).write.parquet(f"{tmp_path}/none/conversations.parquet")
+    for query in (turns.stream_question_log, turns.stream_scores, turns.stream_sessions):
+        assert sorted(map(repr, query(spark, f"{tmp_path}/many").collect())) == sorted(map(repr, query(spark, SF).collect()))
+        assert query(spark, f"{tmp_path}/none").count() == 0
