@@ -2,17 +2,20 @@
 
 import difflib
 import hashlib
+import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from answerloom import catalog
 from answerloom.functions import arrow, text as T
 from answerloom.operators import chunking as C, cleaning as K, comparison as M, extraction as E, gate as G, prompts as P, question as Q, retrieval as R, scoring as S, sections as X
 from answerloom.plans import runs, settings
 from answerloom.sources import tables
 from answerloom.streaming import turns
-from tests.conftest import SF
+from tests.conftest import SF, same
 
 
 def one(spark, column, **values):
@@ -418,3 +421,16 @@ def test_streams_of_tables_in_folders(spark, tmp_path):
     for query in (turns.stream_question_log, turns.stream_scores, turns.stream_sessions):
         assert sorted(map(repr, query(spark, f"{tmp_path}/many").collect())) == sorted(map(repr, query(spark, SF).collect()))
         assert query(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_page_ranges_past_the_last_page(spark):
+    got = K.page_ranges(spark.createDataFrame([(1, 3), (2, 7), (3, 12)], "k long, at long"), "at", 10).collect()
+    assert {r.k: (r.pages, r.end) for r in got} == {1: ([3, 4, 5, 6], 6), 2: ([7, 8, 9, 10, 11], 11), 3: ([], 10)}
+
+
+def test_letter_pages_past_the_last_page(spark, tmp_path):
+    spark.createDataFrame([(9999,), (10005,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+    got = K.letter_page_ranges(spark, str(tmp_path))
+    assert same(got.collect(), got.columns, con.execute(catalog.oracle_sql()["letter_page_ranges"]))
