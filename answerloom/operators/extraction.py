@@ -75,6 +75,31 @@ def in_ranges(points: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str, w
     return points.withColumn("aw_band", F.floor(F.col(at) / width)).join(banded, "aw_band").filter(F.col(at).between(F.col(lo), F.col(hi))).drop("aw_band")
 
 
+def merged_ranges(ranges: DataFrame, lo: str, hi: str, width: float) -> DataFrame:
+    """aw_band, lo, hi: what the ranges cover within each band of `width`, as ranges of which no two touch.
+
+    Equal pieces are dropped first. Where no range is shorter than a band, a band keeps at most two pieces, however many ranges there are.
+    """
+    band = F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
+    # only a piece's order and reach within its band matter, so what begins before the band begins at its edge; no bound is rounded within the band
+    pieces = ranges.filter(F.col(lo) <= F.col(hi)).select(lo, hi, band.alias("aw_band"))
+    start = F.when(F.floor(F.col(lo) / width) < F.col("aw_band"), F.lit(float("-inf"))).otherwise(F.col(lo).cast("double"))
+    stop = F.when(F.floor(F.col(hi) / width) > F.col("aw_band"), F.lit(float("inf"))).otherwise(F.col(hi).cast("double"))
+    pieces = pieces.select("aw_band", start.alias(lo), stop.alias(hi)).groupBy("aw_band", lo).agg(F.max(hi).alias(hi))
+    order = Window.partitionBy("aw_band").orderBy(lo)
+    reach = F.max(hi).over(order.rowsBetween(_UNBOUNDED, -1))
+    new = F.coalesce(F.col(lo) > reach, F.lit(True))
+    run = F.sum(F.when(F.col("aw_new"), 1).otherwise(0)).over(order.rowsBetween(_UNBOUNDED, 0))
+    return pieces.withColumn("aw_new", new).withColumn("aw_run", run).groupBy("aw_band", "aw_run").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("aw_run")
+
+
+def in_no_range(points: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str, width: float) -> DataFrame:
+    """Points that no range lo..hi holds: each point meets the merged ranges of its band, of which one at most holds it."""
+    merged = merged_ranges(ranges, lo, hi, width)
+    held = (F.floor(F.col(at) / width) == F.col("aw_band")) & F.col(at).between(F.col(lo), F.col(hi))
+    return points.join(merged, held, "left_anti")
+
+
 def islands(rows: DataFrame, by: str, at: str, new: Column) -> DataFrame:
     """Adds island: a running number within `by` that grows where `new` holds."""
     return rows.withColumn("island", F.sum(F.when(new, 1).otherwise(0)).over(Window.partitionBy(by).orderBy(at).rowsBetween(_UNBOUNDED, 0)))
@@ -237,7 +262,7 @@ def range_anti_join(spark, sf_dir):
     """Orders in no supplier's range."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     ranges = table(spark, sf_dir, "supplier").select((F.col("s_acctbal") * 30).alias("lo"), (F.col("s_acctbal") * 30 + 2000).alias("hi"))
-    return orders.join(in_ranges(orders, ranges, "o_totalprice", "lo", "hi", 2000.0).select("o_orderkey"), "o_orderkey", "left_anti").select("o_orderkey")
+    return in_no_range(orders, ranges, "o_totalprice", "lo", "hi", 2000.0).select("o_orderkey")
 
 
 @query("""WITH g AS (SELECT user_id, event_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events),

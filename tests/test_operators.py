@@ -434,3 +434,14 @@ def test_letter_pages_past_the_last_page(spark, tmp_path):
     con.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
     got = K.letter_page_ranges(spark, str(tmp_path))
     assert same(got.collect(), got.columns, con.execute(catalog.oracle_sql()["letter_page_ranges"]))
+
+
+def test_in_no_range(spark):
+    rnd = random.Random(1)
+    ranges = [(x := rnd.uniform(-50, 400), x + rnd.choice([0, 1, 7, 30])) for _ in range(60)] + [(100.0, 107.0)] * 30
+    points = [(i, float(i) / 2) for i in range(-150, 1000)] + [(2000 + i, v) for i, (a, b) in enumerate(ranges) for v in (a, b)] + [(9999, None)]
+    p, r = spark.createDataFrame(points, "id long, at double"), spark.createDataFrame(ranges, "lo double, hi double")
+    assert {x.id for x in E.in_no_range(p, r, "at", "lo", "hi", 7.0).collect()} == {i for i, v in points if v is None or not any(a <= v <= b for a, b in ranges)}
+    # a band keeps two pieces at most where no range is shorter than it
+    many = spark.range(5000).select((F.col("id") % 997 / 3).alias("lo"), (F.col("id") % 997 / 3 + 7).alias("hi"))
+    assert E.merged_ranges(many, "lo", "hi", 7.0).groupBy("aw_band").count().agg(F.max("count")).first()[0] <= 2
