@@ -11,6 +11,7 @@ from answerloom.operators.chunking import cut_sentences, glued
 from answerloom.operators.cleaning import joined_lines
 from answerloom.operators.extraction import as_of
 from answerloom.operators.inputs import LINES_SQL, lines
+from answerloom.sources.shared import save
 from answerloom.sources.tables import table
 
 # Marks of list items, bare labels of titles, and kinds of lines.
@@ -75,9 +76,16 @@ def letter_blocks(letters: DataFrame) -> DataFrame:
 
 
 def ordered_blocks(sections_: DataFrame, letters: DataFrame) -> DataFrame:
-    """Sections, then letters, numbered from 1 in the order of their ids."""
+    """Sections, then letters, numbered from 1 in the order of their ids.
+
+    Blocks are dealt into ranges of ids and written in their order; a range is numbered from the count of those before it.
+    """
     both = sections_.withColumn("aw_side", F.lit(0)).unionByName(letters.withColumn("aw_side", F.lit(1)))
-    return both.withColumn("order", F.row_number().over(Window.orderBy("aw_side", "block_id"))).drop("aw_side")
+    rows = both.repartitionByRange("aw_side", "block_id").sortWithinPartitions("aw_side", "block_id")
+    rows = save(rows.withColumns({"aw_part": F.spark_partition_id(), "aw_at": F.monotonically_increasing_id()}), "blocks")
+    per = rows.groupBy("aw_part").agg(F.count(F.lit(1)).alias("aw_n"), F.min("aw_at").alias("aw_least"))
+    shift = per.select("aw_part", (F.sum("aw_n").over(Window.orderBy("aw_part")) - F.col("aw_n") - F.col("aw_least") + 1).alias("aw_shift"))  # one row a range
+    return rows.join(F.broadcast(shift), "aw_part").withColumn("order", (F.col("aw_at") + F.col("aw_shift")).cast("int")).drop("aw_side", "aw_part", "aw_at", "aw_shift")
 
 
 # ---- lines as pieces

@@ -445,3 +445,16 @@ def test_in_no_range(spark):
     # a band keeps two pieces at most where no range is shorter than it
     many = spark.range(5000).select((F.col("id") % 997 / 3).alias("lo"), (F.col("id") % 997 / 3 + 7).alias("hi"))
     assert E.merged_ranges(many, "lo", "hi", 7.0).groupBy("aw_band").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_ordered_blocks_are_dealt_out(spark):
+    sides = [spark.range(n).select(F.format_string(f, F.col("id") * 37 % n).alias("block_id")) for n, f in ((500, "%d"), (40, "L%02d"))]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = X.ordered_blocks(*sides)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = [f"{i}" for i in range(500)], [f"L{i:02d}" for i in range(40)]
+    assert [r.block_id for r in got.orderBy("order").collect()] == sorted(want[0]) + sorted(want[1])
+    assert [r.order for r in got.orderBy("order").collect()] == list(range(1, 541))
+    assert got.rdd.getNumPartitions() > 1
