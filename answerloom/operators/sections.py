@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from answerloom.catalog import query
@@ -32,21 +31,18 @@ def contents_problems(toc: DataFrame, offset: int = 20) -> DataFrame:
     return rows.select("row_no", F.explode(F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in checks.items())), lambda x: x.isNotNull())).alias("problem"))
 
 
-def _starts(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    after, out = -1, []
-    for entry, some in rows.sort_values(["entry", "n"]).groupby("entry", sort=True):
-        some = some[(some.n > after) & (some.score > 0)]
-        if some.empty:
-            continue
-        at = int(some[some.score == some.score.max()].n.min())
-        out.append((key[0], int(entry), at))
-        after = at
-    return pd.DataFrame(out, columns=["doc_id", "entry", "start"])
-
-
 def section_starts(scored: DataFrame) -> DataFrame:
     """doc_id, entry, start: for each entry in order, the best scored line (doc_id, entry, n, score) after the start before it, the earliest of equals."""
-    return scored.filter("score > 0").select("doc_id", "entry", "n", "score").groupBy("doc_id").applyInPandas(_starts, "doc_id long, entry long, start long")
+    # of an entry's lines in this order, the first one after the start before it is its start
+    best = F.array_sort(F.collect_list(F.struct("entry", (-F.col("score")).alias("cost"), "n")))
+    state = F.struct(F.lit(None).cast("long").alias("entry"), F.lit(-1).cast("long").alias("after"), F.array().cast("array<struct<entry:bigint,start:bigint>>").alias("out"))
+
+    def step(s, x):
+        entry, n = x["entry"].cast("long"), x["n"].cast("long")
+        takes = (s["entry"].isNull() | (s["entry"] != entry)) & (n > s["after"])
+        return F.when(takes, F.struct(entry.alias("entry"), n.alias("after"), F.array_append(s["out"], F.struct(entry.alias("entry"), n.alias("start"))).alias("out"))).otherwise(s)
+
+    return scored.filter("score > 0").groupBy("doc_id").agg(best.alias("lines")).select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(F.aggregate("lines", state, step, lambda s: s["out"])))
 
 
 def sections(rows: DataFrame, starts: DataFrame) -> DataFrame:

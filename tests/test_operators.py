@@ -458,3 +458,10 @@ def test_ordered_blocks_are_dealt_out(spark):
     assert [r.block_id for r in got.orderBy("order").collect()] == sorted(want[0]) + sorted(want[1])
     assert [r.order for r in got.orderBy("order").collect()] == list(range(1, 541))
     assert got.rdd.getNumPartitions() > 1
+
+
+def test_section_starts_without_python(spark):
+    rows = [(1, 0, 3, 2), (1, 0, 1, 2), (1, 0, 0, 1), (1, 1, 0, 5), (1, 1, 2, 1), (1, 1, 4, 1), (1, 2, 1, 9), (1, 3, 9, 0), (1, 3, 8, 1), (2, 1, 0, 1)]
+    got = X.section_starts(spark.createDataFrame(rows, "doc_id long, entry long, n int, score int"))
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 1), (1, 1, 2), (1, 3, 8), (2, 1, 0)]
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString() and "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
