@@ -162,7 +162,7 @@ def gate_grade(spark, sf_dir):
     hits = R.bm25(R.index_of(spark, sf_dir), asked).join(docs.select("doc_id", "text"), "doc_id").join(asked.select("item_id", F.col("text").alias("question")), "item_id")
     hits = hits.select("item_id", "text", R.coverage(F.col("question"), F.col("text")).alias("score"))
     english = asked.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z0-9]*"), F.lit(0))).alias("word")).distinct()
-    corpus = R.index_of(spark, sf_dir).postings.select("term").distinct()
+    corpus = R.index_of(spark, sf_dir).terms.select("term")
     parts = strong_parts(asked, english).filter("kind = 'soft'")
     graded = signals(parts, hits, corpus).withColumn("grade", grade())
     return graded.select("item_id", "best", "grade", action().alias("action"))
@@ -173,7 +173,7 @@ def gate_signals(spark, sf_dir):
     """Signals with the words of the corpus as the known ones (held against a plain version in the tests)."""
     docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     hits = R.bm25(R.index_of(spark, sf_dir), asked).join(docs.select("doc_id", "text"), "doc_id").select("item_id", "text", "score")
-    corpus = R.index_of(spark, sf_dir).postings.select("term").distinct()
+    corpus = R.index_of(spark, sf_dir).terms.select("term")
     graded = signals(strong_parts(asked, corpus.withColumnRenamed("term", "word")), hits, corpus).withColumn("grade", grade())
     return graded.withColumn("action", action()).withColumn("notes", notes())
 

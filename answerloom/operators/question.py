@@ -138,8 +138,7 @@ def zone_action(best: Column, outside: Column, missing: Column) -> Column:
 def idf_coverage(questions: DataFrame, hits: DataFrame, index: R.Index, qid: str = "item_id", text: str = "text") -> DataFrame:
     """qid, coverage (2 places): the share of a question's terms, weighed by their rarity, that its hits (qid, text) hold."""
     asked = questions.select(qid, F.explode(F.array_distinct(T.terms(text))).alias("term"))
-    df = index.postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = index.with_idf(df).select("term", "idf")
+    idf = index.with_idf(index.terms.join(asked.select("term").distinct(), "term", "left_semi")).select("term", "idf")
     held = hits.select(qid, F.explode(T.terms("text")).alias("term")).distinct().withColumn("held", F.lit(True))
     rows = asked.join(idf, "term").join(held, [qid, "term"], "left")
     share = rows.groupBy(qid).agg(F.round(F.try_divide(F.sum(F.when(F.col("held"), F.col("idf")).otherwise(0.0)), F.sum("idf")), 2).alias("coverage"))
@@ -182,7 +181,7 @@ def prepared(questions: DataFrame, index: R.Index, docs: DataFrame, vocab: DataF
         fixed = fixed_questions(sound, vocab, english).withColumn("changes", F.when(F.col("rewrite").isNull(), F.col("changes"))).withColumn("fixed", F.coalesce("rewrite", "fixed"))
     else:
         fixed = fixed_questions(sound, vocab, english)
-    corpus = index.postings.select("term").distinct()
+    corpus = index.terms.select("term")
     fixed = save(corrected_names(fixed.withColumn("fixed", T.expanded_aliases("fixed")), corpus, vocab, acronyms, english), "fixed")
     search = lambda asked: R.bm25(index, asked, POOL)
     asked = fixed.select("item_id", F.col("fixed").alias("text"))

@@ -465,3 +465,25 @@ def test_section_starts_without_python(spark):
     got = X.section_starts(spark.createDataFrame(rows, "doc_id long, entry long, n int, score int"))
     assert sorted(map(tuple, got.collect())) == [(1, 0, 1), (1, 1, 2), (1, 3, 8), (2, 1, 0)]
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString() and "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_without_pairs_in_a_shuffle(spark, tmp_path, monkeypatch):
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(rnd.choices(words, range(40, 0, -1), k=rnd.randrange(1, 30)))) for i in range(300)]
+    docs += [(300 + i, docs[i][1]) for i in range(60)] + [(900, None), (901, "the of"), (902, "İ KELVIN K x")]
+    asked = [(i, " ".join(rnd.choices(words, k=4))) for i in range(20)] + [(50, "the"), (51, None), (52, "w1 w1 kelvin"), (53, "k")]
+    monkeypatch.setattr(R, "DOCS", 16)
+    monkeypatch.setattr(R, "QUESTIONS", 6)
+    d, q = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(asked, "item_id long, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    index = R.index_of(spark, str(tmp_path))
+    got = R.bm25(index, q, 7)
+    q.write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert same(got.collect(), got.columns, con.execute(f"WITH {R.BM25_SQL} SELECT item_id, doc_id, score, rank FROM bm WHERE rank <= 7"))
+    # the index holds one row a document, and no more than k rows a question and task are exchanged
+    assert index.documents.count() == len(docs)
+    assert R.bm25(index, q.filter("item_id = 50")).count() == 0
