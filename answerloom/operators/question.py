@@ -6,6 +6,11 @@ by a model are columns that a provider fills in, with the rules that decide on t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from answerloom.catalog import query
@@ -23,20 +28,52 @@ POOL = 10
 _PIECES = "[A-Za-z]+|[^A-Za-z]+"
 
 
+#: Words of the vocabulary, and words asked for, whose shared bigrams are one matrix product.
+KNOWN, ASKED = 4096, 1024
+
+
+def _near_words(asked):
+    """Pairs of a word of asked.value and one of the vocabulary that may be alike, by their lengths and shared bigrams."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = []
+        for start in range(0, len(asked.value), ASKED):
+            words, number = asked.value[start : start + ASKED], {}
+            places = [(number.setdefault(w[i : i + 2], len(number)), k) for k, w in enumerate(words) for i in range(len(w) - 1)]
+            grams = np.zeros((len(number), len(words)), np.float32)
+            np.add.at(grams, tuple(np.array(places).T), 1)
+            blocks.append((words, pa.array(list(number), pa.string()), grams, np.array([len(w) for w in words])))
+        for whole in batches:
+            for start in range(0, whole.num_rows, KNOWN):
+                known = whole.column(0).slice(start, KNOWN)
+                for words, grams, wanted, sizes in blocks:
+                    # a word more than one and a half times as long is never alike
+                    known_here = known.filter(pc.less_equal(pc.utf8_length(known), int(1.5 * sizes.max())))
+                    length = pc.utf8_length(known_here).to_numpy(zero_copy_only=False)
+                    has = np.zeros((len(length), len(grams)), np.float32)
+                    for i in range(max(length, default=1) - 1):
+                        at = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(known_here, i, i + 2), grams), -1).to_numpy(zero_copy_only=False)
+                        rows = np.flatnonzero(at >= 0)
+                        has[rows, at[rows]] += 1
+                    shared, n = has @ wanted, length[:, None] + sizes[None, :]
+                    other, word = np.nonzero((shared >= 1) & (shared >= 0.2 * n - 1) & (np.minimum(length[:, None], sizes[None, :]) >= 0.4 * n))
+                    yield pa.RecordBatch.from_arrays([pa.array([words[k] for k in word], pa.string()), known_here.take(pa.array(other, pa.int64()))], ["word", "other"])
+
+    return near
+
+
 def word_fixes(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """word, match: the word of the vocabulary most like each word (ratio of matching blocks of 0.8 at least; ties: the greatest).
 
     words and vocab are distinct and lower case. Of n + m letters, two words so alike share 0.4 * (n + m) in blocks with at most
-    0.2 * (n + m) letters between them, and so 0.2 * (n + m) - 1 bigrams: pairs come from an equi-join on bigrams and few are
-    compared.
+    0.2 * (n + m) letters between them, and so 0.2 * (n + m) - 1 bigrams. The words, which come from questions, are sent to the
+    tasks; the vocabulary is counted against them where it lies, and few pairs are compared.
     """
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))
-    a = words.filter(F.length("word") >= LEAST_LETTERS).select("word", F.explode(grams(F.col("word"))).alias("g"))
-    b = vocab.filter(F.length("word") >= 3).select(F.col("word").alias("other"), F.explode(grams(F.col("word"))).alias("g"))
-    n = F.length("word") + F.length("other")
-    near = a.join(b, "g").filter(F.least(F.length("word"), F.length("other")) >= 0.4 * n).groupBy("word", "other").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= 0.2 * n - 1)
+    asked = [r.word for r in words.filter(F.length("word") >= LEAST_LETTERS).select("word").collect()]
+    sent = words.sparkSession.sparkContext.broadcast(asked)
+    near = vocab.filter(F.length("word") >= 3).select("word").mapInArrow(_near_words(sent), "word string, other string")
     # letters outside the blocks, at most 0.2 * (n + m), are as many insertions and deletions
-    near = near.filter(F.levenshtein("word", "other") <= 0.2 * n).select("word", "other")
+    near = near.filter(F.levenshtein("word", "other") <= 0.2 * (F.length("word") + F.length("other")))
     scored = near.withColumn("ratio", arrow.similarity(F.col("other"), F.col("word"))).filter(F.col("ratio") >= LIKENESS)
     return scored.groupBy("word").agg(F.max(F.struct("ratio", "other"))["other"].alias("match"))
 

@@ -487,3 +487,16 @@ def test_bm25_without_pairs_in_a_shuffle(spark, tmp_path, monkeypatch):
     # the index holds one row a document, and no more than k rows a question and task are exchanged
     assert index.documents.count() == len(docs)
     assert R.bm25(index, q.filter("item_id = 50")).count() == 0
+
+
+def test_word_fixes_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(Q, "KNOWN", 7)
+    monkeypatch.setattr(Q, "ASKED", 3)
+    rnd = random.Random(3)
+    vocab = sorted({"".join(rnd.choices("abcé", k=rnd.randrange(1, 9))) for _ in range(150)} | {"banana" * 3, "x" * 400})
+    asked = sorted({"".join(rnd.choices("abcé", k=rnd.randrange(3, 9))) for _ in range(30)} | {"bananabananabanan", "zzzz"})
+    df = lambda w: spark.createDataFrame([(x,) for x in w], "word string")
+    got = Q.word_fixes(df(asked), df(vocab))
+    assert {r.word: r.match for r in got.collect()} == {w: m for w in asked if len(w) >= 4 and (m := closest(w, [v for v in vocab if len(v) >= 3]))}
+    # the vocabulary is not exchanged: only the final maximum of each word is
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2 and Q.word_fixes(df([]), df(vocab)).count() == 0
