@@ -436,6 +436,30 @@ def test_letter_pages_past_the_last_page(spark, tmp_path):
     assert same(got.collect(), got.columns, con.execute(catalog.oracle_sql()["letter_page_ranges"]))
 
 
+def test_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 4)
+    rng = random.Random(4)
+    values = [None, float("nan"), float("inf"), -0.0, 0.0, 7.0, 7.0, *([3.5] * 30), *(rng.choice([rng.uniform(-30, 30), float(rng.randint(-30, 30))]) for _ in range(200))]
+    points = [(i, v, "a" if i % 3 else None) for i, v in enumerate(values)]
+    ranges = [(-1, None, 5.0), (-2, 5.0, None), (-3, 9.0, 2.0), (-4, 3.5, 3.5), (-5, 0.0, 0.0), (-6, -40.0, 40.0), *((k, a, a + rng.choice([0.0, 7.0, rng.uniform(0, 20)])) for k, a in enumerate(float(rng.randint(-40, 40)) for _ in range(40)))]
+    p = spark.createDataFrame(points + points[:9], "id long, at double, more string")
+    got = E.in_ranges(p, spark.createDataFrame(ranges, "k long, lo double, hi double"), "at", "lo", "hi", 7.0)
+    assert got.columns == ["id", "at", "more", "k", "lo", "hi"]
+    want = [(i, v, m, *r) for i, v, m in points + points[:9] for r in ranges if v is not None and None not in r and r[1] <= v <= r[2]]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_in_ranges_written(spark, tmp_path):
+    # few bands with many pairs: several tasks give them out, and files keep them in a fraction of a byte a row
+    points = spark.range(0, 4000, 1, 1).select("id", (F.pmod(F.xxhash64("id"), F.lit(300_000)) / 100_000).alias("at"))
+    ranges = spark.range(0, 1000, 1, 1).select(F.xxhash64("id").alias("k"), (F.col("id") / 500).alias("lo"), (F.col("id") / 500 + 1).alias("hi"))
+    E.in_ranges(points, ranges, "at", "lo", "hi", 1.0).select("id", "k").write.parquet(f"{tmp_path}/pairs")
+    rows, held = spark.read.parquet(f"{tmp_path}/pairs").distinct().count(), [(r.lo, r.hi) for r in ranges.collect()]
+    assert rows == sum(a <= v <= b for v in [p["at"] for p in points.collect()] for a, b in held)
+    files = [f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")]
+    assert sum(files) < 0.4 * rows and max(files) < 0.6 * sum(files)
+
+
 def test_in_no_range(spark):
     rnd = random.Random(1)
     ranges = [(x := rnd.uniform(-50, 400), x + rnd.choice([0, 1, 7, 30])) for _ in range(60)] + [(100.0, 107.0)] * 30
